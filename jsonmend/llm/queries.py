@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their DuckDB oracles."""
 
-from jsonmend.llm import sharding
+from jsonmend.llm import secrets, sharding
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
+    "op2_secrets": secrets.op2_secrets,
 }
 
 ORACLES = {
