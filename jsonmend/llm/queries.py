@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their DuckDB oracles."""
 
-from jsonmend.llm import secrets, sharding
+from jsonmend.llm import bpe, secrets, sharding
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_secrets": secrets.op2_secrets,
+    "op8_bpe": bpe.op8_bpe,
 }
 
 ORACLES = {
