@@ -11,12 +11,12 @@ the merge that forbade them, and each token's left and right constituents with
 the merge that built it.  An arc exists from "after x" to y unless some
 forbidding gadget acted while the parts it names were still whole.
 
-A pre-split word is read symbol by symbol.  The reading state holds, for each
-prefix, the last arc of the one accepting path that spells it; the transition
-for a symbol picks the arc that ends there and is allowed after the path it
-extends.  Transitions are tabulated on first use (a bounded table, cleared when
-full), so frequent words cost one lookup a symbol or, through the word table,
-one lookup a word.  Decoding emits the labels of the arcs.
+A pre-split word is read symbol by symbol.  For each prefix there is exactly one
+accepting path that spells it, so the reader keeps its last arc; the arc for the
+next symbol is the one that ends there and that the transition table allows
+after the path it extends.  The table (state after x, arc y) is filled from the
+gadgets on first use.  Encoded runs are remembered in a bounded table, so a
+frequent word costs one lookup.  Decoding emits the labels of the arcs.
 
 The vocabulary file is a parameter; the driver reads it once and ships its
 contents, so executors need no copy of the file.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -63,8 +64,11 @@ class TokenizationAutomaton:
         self.banned: dict[int, int] = {}
         for rank, (u, v) in enumerate(merges):
             self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
-        self.tails = {t[k:] for t in vocab for k in range(len(t))}
-        self._restart()
+        cut = len(end)
+        self.finals = {t[: len(t) - cut]: i for t, i in vocab.items() if t.endswith(end)}
+        self.inside = {t: i for t, i in vocab.items() if not cut or not t.endswith(end)}
+        self.final_tails, self.inside_tails = ({t[k:] for t in texts for k in range(len(t))} for texts in (self.finals, self.inside))
+        self.arcs: dict[int, bool] = {}
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         """Merge number ``rank``: split the state after u, losing its arc v; add the arc w."""
@@ -95,48 +99,48 @@ class TokenizationAutomaton:
                 return True
             a, whole_a = made[1], made[2]
 
-    def _restart(self) -> None:
-        """Empty the transition table; state 0 has read nothing."""
-        self.delta: dict[tuple[int, str], int] = {}
-        self.symbol, self.before = [""], [0]  # the last symbol read, and the state before it
-        self.arc, self.source = [-1], [0]  # the last arc of the path, and the state it leaves
-
-    def _transition(self, state: int, symbol: str) -> int:
-        """The state after one more symbol: its path ends in the one arc that fits."""
-        new = len(self.symbol)
-        self.symbol.append(symbol)
-        self.before.append(state)
-        text, s, arc, source = "", new, -1, 0
-        while s:
-            text = self.symbol[s] + text
-            if text not in self.tails:
-                break
-            s = self.before[s]
-            token = self.vocab.get(text)
-            # a longer token is an arc only if merges build it
-            if token is not None and (s == state or token in self.parts) and (s == 0 or self.arc[s] >= 0 and self.allowed(self.arc[s], token)):
-                arc, source = token, s
-                break
-        self.arc.append(arc)
-        self.source.append(source)
-        self.delta[state, symbol] = new
-        return new
-
     def encode_word(self, letters: str) -> list[int]:
-        """Ids of one pre-split word in vocabulary letters; symbols outside the vocabulary are dropped."""
-        symbols = list(letters)
-        symbols[-1] += self.end
-        state = 0
-        for symbol in symbols:
-            if symbol in self.vocab:
-                state = self.delta.get((state, symbol)) or self._transition(state, symbol)
+        """Ids of one pre-split word given in vocabulary letters."""
+        n = len(letters)
+        if letters[-1] not in self.finals or any(c not in self.inside for c in letters[:-1]):
+            symbols = [c for c in letters[:-1] if c in self.inside]
+            if letters[-1] not in self.finals:  # no symbol is left that ends the word
+                return self._path("".join(symbols), len(symbols), self.inside, self.inside_tails) if symbols else []
+            letters, n = "".join(symbols) + letters[-1], len(symbols) + 1
+        return self._path(letters, n, self.finals, self.final_tails)
+
+    def _path(self, letters: str, n: int, finals: dict[str, int], final_tails: set[str]) -> list[int]:
+        """The one accepting path; its last arc is taken from ``finals``."""
+        arcs, parts = self.arcs, self.parts
+        table, tails = self.inside, self.inside_tails
+        arc, source = [-1] * (n + 1), [0] * (n + 1)
+        for i in range(1, n + 1):
+            if i == n:
+                table, tails = finals, final_tails
+            for j in range(i - 1, -1, -1):
+                text = letters[j:i]
+                if text not in tails:
+                    break
+                token = table.get(text)
+                # a longer token is an arc only if merges build it
+                if token is None or j < i - 1 and token not in parts:
+                    continue
+                if j:
+                    pair = arc[j] << 32 | token
+                    fits = arcs.get(pair)
+                    if fits is None:
+                        if len(arcs) >= 4 * TABLE_ENTRIES:
+                            arcs.clear()
+                        fits = arcs[pair] = arc[j] >= 0 and self.allowed(arc[j], token)
+                    if not fits:
+                        continue
+                arc[i], source[i] = token, j
+                break
         ids = []
-        while state:
-            ids.append(self.arc[state])
-            state = self.source[state]
+        while n:
+            ids.append(arc[n])
+            n = source[n]
         ids.reverse()
-        if len(self.symbol) > TABLE_ENTRIES:
-            self._restart()
         return ids
 
     def emit(self, ids: list[int]) -> list[str]:
@@ -162,6 +166,7 @@ class Codec:
         self.compose = any(s["type"] == "NFC" for s in steps)
         split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(split["pattern"]["Regex"]).findall
+        self.odd_space = re.compile("[\x1c-\x1f]").search  # spaces for str.split, not for the file's pattern
         self.bytes = {chr(b): letter for b, letter in enumerate(byte_letters())}
         self.table = str.maketrans(self.bytes)
         self.seen: dict[str, list[int]] = {}
@@ -176,18 +181,29 @@ class Codec:
                 text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         elif self.fold:
             text = text.lower()
-        seen, encode = self.seen, self.automaton.encode_word
-        for word in self.find(text):
-            ids = seen.get(word)
+        # A word never spans white space, so the run between spaces is the unit that is remembered.
+        seen = self.seen
+        for run in text.split() if not self.odd_space(text) else [text]:
+            ids = seen.get(run)
             if ids is None:
-                ids = self.older.get(word) or encode(word.encode("utf-8").decode("latin-1").translate(self.table))
-                if len(word) <= 64:
+                ids = self.older.get(run)
+                if ids is None:
+                    ids = self._words(run)
+                if len(run) <= 64:
                     if len(seen) >= TABLE_ENTRIES:  # the older half is forgotten
                         self.older, self.seen = seen, {}
                         seen = self.seen
-                    seen[word] = ids
+                    seen[run] = ids
             out += ids
 
+    def _words(self, run: str) -> list[int]:
+        out: list[int] = []
+        for word in self.find(run):
+            if not (word.isascii() and word.isprintable()):
+                word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
+            out += self.automaton.encode_word(word)
+        return out
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         start = 0
