@@ -1,13 +1,17 @@
 """The registered queries of this subpackage and their DuckDB oracles."""
 
-from jsonmend.llm import bpe, secrets, sharding
+from jsonmend.llm import bpe, chat, exact, secrets, sharding
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_secrets": secrets.op2_secrets,
     "op8_bpe": bpe.op8_bpe,
+    "op9_chat": chat.op9_chat,
+    "op10_exact": exact.op10_exact,
 }
 
 ORACLES = {
     "op1_shard": sharding.ORACLE,
+    "op9_chat": chat.ORACLE,
+    "op10_exact": exact.ORACLE,
 }
