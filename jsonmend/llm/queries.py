@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their DuckDB oracles."""
 
-from jsonmend.llm import bpe, chat, exact, secrets, sharding
+from jsonmend.llm import bpe, chat, exact, neardup, secrets, sharding
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_secrets": secrets.op2_secrets,
+    "op4_near": neardup.op4_near,
     "op8_bpe": bpe.op8_bpe,
     "op9_chat": chat.op9_chat,
     "op10_exact": exact.op10_exact,
@@ -12,6 +13,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_shard": sharding.ORACLE,
+    "op4_near": neardup.ORACLE,
     "op9_chat": chat.ORACLE,
     "op10_exact": exact.ORACLE,
 }
