@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and their DuckDB oracles."""
 
-from jsonmend.llm import bpe, chat, exact, neardup, secrets, sharding
+from jsonmend.llm import bpe, chat, exact, language, mixing, neardup, secrets, sharding
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_secrets": secrets.op2_secrets,
+    "op3_language": language.op3_language,
     "op4_near": neardup.op4_near,
+    "op6_mix": mixing.op6_mix,
     "op8_bpe": bpe.op8_bpe,
     "op9_chat": chat.op9_chat,
     "op10_exact": exact.op10_exact,
