@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB oracles."""
 
-from jsonmend.llm import bpe, chat, exact, language, mixing, neardup, secrets, sharding
+from jsonmend.llm import bpe, chat, exact, language, mixing, neardup, quality, secrets, sharding
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op4_near": neardup.op4_near,
     "op6_mix": mixing.op6_mix,
+    "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
     "op9_chat": chat.op9_chat,
     "op10_exact": exact.op10_exact,
