@@ -11,15 +11,16 @@ from jsonmend.llm.common import discard, materialize
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node that has an edge to another; ``edges`` has longs a, b.
 
-    Each round every node joins the neighbour that ranks lowest by a hash salted
-    with the round, or stays a root; edges are rewritten to the roots and loops
-    and repeats dropped.  Random ranks shrink any graph, chains included, by a
-    constant factor a round.  ``comp`` is some node of the component.
+    Each round every node joins the neighbour that ranks lowest, or stays a
+    root; edges are rewritten to the roots and loops and repeats dropped.  The
+    first rounds rank by id, which collapses stars around a smallest id at once;
+    later ones by a hash salted with the round, which shrinks any graph, chains
+    included, by a constant factor.  ``comp`` is some node of the component.
     """
     edges = materialize(edges.filter("a <> b").select("a", "b").distinct(), "edges-0")
     labels, step = None, 0
     while labels is None or not edges.isEmpty():
-        rank = lambda c, salt=step: F.xxhash64(c, F.lit(salt))
+        rank = lambda c, salt=step: F.xxhash64(c, F.lit(salt)) if salt > 1 else c
         best = F.min(F.struct(rank(F.col("b")).alias("rank"), F.col("b").alias("id")))
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         roots = around.groupBy("a").agg(best.alias("best"))

@@ -12,12 +12,14 @@ threshold meets in no bucket.
 
 A bucket is never expanded into all its pairs.  Its members are compared with
 one leader; union-find merges what is linked.  Only buckets that still hold
-several components go on, and there only members outside the largest one:
-further leaders while more than ``FEW`` are left, then the exact rest.  For a few
-members that is each of them against the bucket, less the pairs that distance to
-the common leader rules out (Jaccard distance is a metric) or that sizes rule
-out; for many it is a prefix join on rare shingles, complete for the threshold.
-Every link is confirmed on the full shingle sets.
+several components go on, and there only members outside the largest one
+(minors).  They are compared with their bucket if that is up to ``FEW`` pairs,
+less those that the distances to the common leader rule out (Jaccard distance is
+a metric) or that sizes rule out.  From larger buckets documents go whose
+unshared shingles alone forbid any partner; further leaders follow while they
+find links; and a prefix join on the differences from a common centre, complete
+for the threshold, decides the rest.  Every link is confirmed on the full
+shingle sets.
 
 A shingle is held as a 64-bit hash of its words' 64-bit SipHash values.
 """
@@ -34,17 +36,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonmend.llm.common import materialize, read_table, text_slices
+from jsonmend.llm.common import discard, fresh, materialize, read_table, text_slices
 from jsonmend.llm.components import components
 
 #: Signature slots in a band.
 ROWS = 4
 #: Highest chance that a pair at the threshold shares no band.
 MISS = 1e-7
-#: Bucket members outside the largest component that are compared with the whole bucket.
-FEW = 32
-#: Star rounds before the prefix join takes over.
-STARS = 4
+#: Pairs of minors and members up to which a bucket is compared outright.
+FEW = 1024
+#: Minors of a bucket up to which it gets no further leader.
+STRANGERS = 32
+#: Most star rounds before the prefix join takes over; they end once few links are found.
+STARS = 8
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -201,12 +205,12 @@ class _Search:
         return components(edges)
 
     def remaining(self, members: DataFrame) -> DataFrame:
-        """Members of buckets with several components, with comp, ``minor`` and the count of minors."""
+        """Members of buckets with several components, with comp, ``minor`` and the bucket's pairs of minors and members."""
         labelled = members.join(self.labels, members["doc_id"] == self.labels["node"], "left").select(members["*"], F.coalesce("comp", "doc_id").alias("comp"))
         labelled = materialize(labelled, "labelled")
         parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
         major = parts.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("major"), F.sum("rows").alias("all"), F.count(F.lit(1)).alias("comps"))
-        major = materialize(major.filter("comps > 1").select("key", F.col("major.comp").alias("major"), (F.col("all") - F.col("major.rows")).alias("minors")), "majors")
+        major = materialize(major.filter("comps > 1").select("key", F.col("major.comp").alias("major"), ((F.col("all") - F.col("major.rows")) * F.col("all")).alias("pairs")), "majors")
         return materialize(labelled.join(major, "key").withColumn("minor", F.col("comp") != F.col("major")).drop("major"), "remaining")
 
     def few(self, rest: DataFrame) -> DataFrame:
@@ -220,41 +224,89 @@ class _Search:
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & fit)
         return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
 
-    def many(self, rest: DataFrame) -> DataFrame:
-        """The prefix join: pairs that share one of their rarest shingles."""
-        own = rest.groupBy("doc_id").agg(F.max(F.col("minor").cast("int")).alias("minor"), F.first("comp").alias("comp"))
-        tokens = materialize(self.sets.join(own, "doc_id").select("doc_id", "minor", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
-        counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        counts = materialize(counts.filter("df > 1"), "token-counts")
-        ranked = tokens.join(counts, "token", "left").groupBy("doc_id", "minor", "comp", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("order"))
-        length = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
-        prefix = ranked.select("doc_id", "minor", "comp", "n", F.explode(F.slice("order", F.lit(1), length.cast("int"))).alias("t")).filter("t.df > 1")
-        prefix = materialize(prefix.select("doc_id", "minor", "comp", "n", "t.token"), "prefixes")
-        x, y = prefix.filter("minor = 1").alias("x"), prefix.alias("y")
+    def hopeful(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, size, shared): the documents that could still have a partner among ``ids``.
+
+        ``shared`` are the shingles that two of them hold.  A document whose
+        other shingles outweigh the threshold has no partner whatever it is
+        compared with; taking it out may leave others alone, so this repeats.
+        """
+        own = self.sets.join(ids, "doc_id", "left_semi").select("doc_id", F.size("shingles").cast("long").alias("size"), F.col("shingles").alias("shared"))
+        own, rows = materialize(own, "hopeful-0"), None
+        for step in range(1, 4):
+            held = own.select("doc_id", F.explode("shared").alias("token")).groupBy("token").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("holders"))
+            lone = materialize(held.filter("holders = 1").groupBy("doc_id").agg(F.collect_list("token").alias("lone")), "lone-shingles")
+            shared = F.when(F.col("lone").isNull(), F.col("shared")).otherwise(F.array_except("shared", "lone"))
+            left = own.join(lone, "doc_id", "left").select("doc_id", "size", shared.alias("shared")).filter(100 * F.size("shared") >= self.percent * F.col("size"))
+            older, before = own, rows
+            own = materialize(left, f"hopeful-{step}")
+            discard(older)
+            rows = own.count()
+            if not rows or rows == before:
+                break
+        return own
+
+    def many(self, crowded: DataFrame, hopeful: DataFrame) -> DataFrame:
+        """Pairs of crowded buckets that complete their links, without comparing all.
+
+        Every bucket gets a centre C, the shared shingles of its least peculiar
+        document.  With away(x) the symmetric difference of x and C, two sets
+        differ in |away(x) ^ away(y)| shingles, and at the threshold in at most
+        k (|x| + |y|) with k = (1 - t) / (1 + t).  So a linked pair either has
+        |away(x)| + |away(y)| within that, and then both are linked to the
+        document of least |away| - k size, one pair each; or it shares an away
+        shingle, and is found by a prefix join on those small sets, which also
+        decides it.  Lone shingles count in away but match nothing.
+        """
+        t = self.percent / 100
+        k = (1 - t) / (1 + t)
+        known = hopeful.select("doc_id", "size", "shared", (F.size("shared") / F.col("size")).alias("common"))
+        centres = crowded.join(known.select("doc_id", "common"), "doc_id").groupBy("key").agg(F.max(F.struct("common", -F.col("doc_id"), F.col("doc_id").alias("id"))).alias("at"))
+        centres = materialize(centres.select("key", F.col("at.id").alias("centre")), "centres")
+        placed = crowded.join(centres, "key").groupBy("centre", "doc_id").agg(F.max(F.col("minor").cast("int")).alias("minor"), F.min("comp").alias("comp"))
+        middle = known.select(F.col("doc_id").alias("centre"), F.col("shared").alias("middle"))
+        away = F.array_union(F.array_except("shared", "middle"), F.array_except("middle", "shared"))
+        rows = placed.join(known, "doc_id").join(middle, "centre").select("centre", "doc_id", "minor", "comp", F.col("size").alias("n"), (F.col("size") - F.size("shared")).alias("lone"), F.sort_array(away).alias("away"))
+        rows = materialize(rows, "away")
+        score = F.size("away") + F.col("lone") - k * F.col("n")
+        inner = materialize(rows.groupBy("centre").agg(F.min(F.struct(score.alias("score"), F.col("doc_id").alias("id"))).alias("least")).select("centre", F.col("least.id").alias("b")), "inner")
+        pairs = rows.join(inner, "centre").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+        length = F.floor(k * (1 + 1 / t) * F.col("n") + 1e-6) + 1 - F.col("lone")
+        rows = rows.filter(length > 0).withColumn("prefix", F.slice("away", F.lit(1), length.cast("int")))
+        rows = materialize(rows.withColumn("token", F.explode("prefix")), "prefixes")
+        x, y = rows.filter("minor = 1").alias("x"), rows.alias("y")
         apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.minor") == 0) | (F.col("x.doc_id") < F.col("y.doc_id")))
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & self.sizes_fit(F.col("x.n"), F.col("y.n")))
-        return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+        differ = F.size("x.away") + F.col("x.lone") + F.size("y.away") + F.col("y.lone") - 2 * F.size(F.array_intersect("x.away", "y.away"))
+        both = F.col("x.n") + F.col("y.n")
+        near = 100 * (both - differ) >= self.percent * (both + differ)
+        once = F.array_min(F.array_intersect("x.prefix", "y.prefix")) == F.col("x.token")
+        found = x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.token") == F.col("y.token")) & apart & near & once)
+        return pairs.unionByName(found.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")))
 
     def run(self, members: DataFrame) -> DataFrame:
         """(node, comp) after every pair that meets in a bucket is decided."""
         self.check(members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
         self.labels = self.components()
         rest = self.remaining(members)
-        for star in range(STARS):
-            crowded = rest.filter(F.col("minors") > FEW)
-            if crowded.isEmpty():
-                break
+        crowded = rest.filter(F.col("pairs") > FEW)
+        hopeful = None
+        if not crowded.isEmpty():
+            hopeful = self.hopeful(crowded.select("doc_id").distinct())
+            crowded = materialize(crowded.join(hopeful, "doc_id", "left_semi"), "crowded")
+        for star in range(STARS if hopeful is not None else 0):
             pick = F.struct(F.xxhash64("doc_id", F.lit(star)).alias("rank"), F.col("doc_id").alias("id"), F.col("comp").alias("comp"))
-            leaders = materialize(crowded.filter("minor").groupBy("key").agg(F.min(pick).alias("to")).select("key", "to.id", F.col("to.comp").alias("to_comp")), "leaders")
-            tried = crowded.filter("minor").join(leaders, "key").filter("comp <> to_comp")
-            self.check(tried.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+            lone = crowded.filter("minor")
+            leaders = lone.groupBy("key").agg(F.min(pick).alias("to"), F.count(F.lit(1)).alias("left")).filter(F.col("left") > STRANGERS)
+            leaders = materialize(leaders.select("key", "to.id", F.col("to.comp").alias("to_comp")), "leaders")
+            tried = self.check(lone.join(leaders, "key").filter("comp <> to_comp").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+            if 10 * self.edges[-1].count() < tried.count():
+                break  # the members left are mostly strangers
             self.labels = self.components()
-            rest = self.remaining(rest.select("key", "doc_id", "n", "leader"))
+            crowded = self.remaining(crowded.select("key", "doc_id", "n", "leader"))
         if not rest.isEmpty():
-            pairs = self.few(rest.filter(F.col("minors") <= FEW))
-            crowded = rest.filter(F.col("minors") > FEW)
-            if not crowded.isEmpty():
-                pairs = pairs.unionByName(self.many(crowded))
+            pairs = self.few(rest.filter(F.col("pairs") <= FEW))
+            if hopeful is not None:
+                pairs = pairs.unionByName(self.many(crowded, hopeful))
             self.check(pairs)
             self.labels = self.components()
         return self.labels
@@ -302,8 +354,9 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document a component."""
-    gone = materialize(near_groups(docs, percent, width, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["__gone"], "left_anti")
+    own = fresh(docs, "__gone")
+    gone = materialize(near_groups(docs, percent, width, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(own)).distinct(), "near-copies")
+    return docs.join(gone, docs[f"`{id_col}`"] == gone[own], "left_anti")
 
 
 def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
