@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonmend.llm.common import SPACE_CLASS, discard, materialize, read_table, text_or_empty
+from jsonmend.llm.common import SPACE_CLASS, discard, fresh, materialize, read_table, text_or_empty
 
 #: Bytes in a block.
 BLOCK = 4096
@@ -121,16 +121,18 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         exact_groups(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max(F.col("kept").cast("int")).alias("kept"), F.count(F.lit(1)).alias("rows")).filter("kept = 1"),
         "kept",
     )
-    taken = docs.columns
-    tag = docs.select("*", F.col(id_col).alias("__id"), F.sha2(F.encode(normalized(text_or_empty(text_col)), "utf-8"), 256).alias("__sha"))
-    match = lambda k: tag["__id"].eqNullSafe(k["doc_id"]) & (tag["__sha"] == k["text_sha256"])
+    taken = [F.col(f"`{c}`") for c in docs.columns]
+    own_id, own_sha, own_size = (fresh(docs, n) for n in ("__id", "__sha", "__size"))
+    tag = docs.select("*", F.col(id_col).alias(own_id), F.sha2(F.encode(normalized(text_or_empty(text_col)), "utf-8"), 256).alias(own_sha))
+    kept = kept.select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha), "rows")
+    match = lambda k: tag[own_id].eqNullSafe(k[own_id]) & (tag[own_sha] == k[own_sha])
     one, many = kept.filter("rows = 1"), kept.filter("rows > 1")
-    out = tag.join(one, match(one), "left_semi")
+    out = tag.join(one, match(one), "left_semi").select(*taken)
     if not many.isEmpty():  # an id with several equal texts: the longest original stays, once
-        several = tag.join(many, match(many), "left_semi").withColumn("__n", F.length(text_or_empty(text_col)))
-        best = several.groupBy("__id", "__sha").agg(F.max_by(F.struct(*[several[f"`{c}`"] for c in taken]), F.col("__n")).alias("row"))
-        out = out.select(*[F.col(f"`{c}`") for c in taken]).unionByName(best.select("row.*"))
-    return out.select(*[F.col(f"`{c}`") for c in taken])
+        several = tag.join(many, match(many), "left_semi").withColumn(own_size, F.length(text_or_empty(text_col)))
+        best = several.groupBy(own_id, own_sha).agg(F.max_by(F.struct(*taken), F.col(own_size)).alias("row"))
+        out = out.unionByName(best.select("row.*"))
+    return out
 
 
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

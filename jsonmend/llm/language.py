@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonmend.llm.common import fold_bucket, read_table, text_slices
+from jsonmend.llm.common import fold_bucket, fresh, read_table, text_slices
 
 #: Labelled documents a language that training looks at.
 PER_LANGUAGE = 1500
@@ -162,7 +162,8 @@ def predict_language(docs: DataFrame, model: Model, text_col: str = "text") -> D
     does everything when no language was learned.  Extra columns pass through.
     """
     kept = [c for c in docs.columns if c not in OUTPUTS]
-    picked = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text"))
+    own = fresh(docs, "__text")
+    picked = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias(own))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     width = len(kept)
 
@@ -173,7 +174,7 @@ def predict_language(docs: DataFrame, model: Model, text_col: str = "text") -> D
             added = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(flag, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *added], [*kept, *OUTPUTS])
 
-    schema = picked.drop("__text").schema.add("lang_pred", "string").add("lang_score", "double").add("lang_ambiguous", "boolean")
+    schema = picked.drop(own).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_ambiguous", "boolean")
     return picked.mapInArrow(run, schema)
 
 

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jsonmend.llm.common import WORD_CLASS, discard, materialize, read_table
+from jsonmend.llm.common import WORD_CLASS, discard, fresh, materialize, read_table
 
 #: The most copies of a document, and the most of a source's size that its target may be.
 MOST = 3
@@ -169,15 +169,20 @@ def document_copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST, id_col:
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, with all their columns, repeated by their copies (none: gone)."""
-    copies = materialize(document_copies(docs, weights, most, id_col, text_col, source_col).select("doc_id", "src", "size", "n", "copies"), "copies")
-    tag = docs.select("*", F.col(id_col).cast("long").alias("__id"), source_key(F.col(source_col)).alias("__src"), word_count(F.col(text_col).cast("string")).alias("__size"))
-    if copies.filter("n > 1").isEmpty():
-        tag = tag.withColumn("__n", F.lit(1).cast("long"))
+    own = [fresh(docs, n) for n in ("__id", "__src", "__size", "__n")]
+    copies = document_copies(docs, weights, most, id_col, text_col, source_col)
+    copies = materialize(copies.select(*[F.col(c).alias(o) for c, o in zip(("doc_id", "src", "size", "n"), own, strict=True)], "copies"), "copies")
+    keys = (F.col(id_col).cast("long"), source_key(F.col(source_col)), word_count(F.col(text_col).cast("string")))
+    tag = docs.select("*", *[k.alias(o) for k, o in zip(keys, own, strict=False)])
+    if copies.filter(F.col(own[3]) > 1).isEmpty():
+        tag = tag.withColumn(own[3], F.lit(1).cast("long"))
     else:
-        repeats = Window.partitionBy("__id", "__src", "__size").orderBy(F.xxhash64(text_col))
-        tag = tag.withColumn("__n", F.row_number().over(repeats).cast("long"))
-    match = tag["__id"].eqNullSafe(copies["doc_id"]) & (tag["__src"] == copies["src"]) & (tag["__size"] == copies["size"]) & (tag["__n"] == copies["n"])
-    chosen = copies.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+        repeats = Window.partitionBy(*own[:3]).orderBy(F.xxhash64(text_col))
+        tag = tag.withColumn(own[3], F.row_number().over(repeats).cast("long"))
+    chosen = copies.filter("copies > 0").select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    match = tag[own[0]].eqNullSafe(chosen[own[0]])
+    for o in own[1:]:
+        match = match & (tag[o] == chosen[o])
     return tag.join(chosen, match).select(*[tag[f"`{c}`"] for c in docs.columns])
 
 
