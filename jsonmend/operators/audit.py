@@ -35,3 +35,17 @@ def write_audit(df: DataFrame, path: str, result: str = "repair", keys: tuple[st
     r = F.col(result)
     audit = df.select(*keys, r["succeeded"].alias("succeeded"), r["shape_status"].alias("shape_status"), r["succeeded_by"].alias("succeeded_by"), r["confidence"].alias("confidence"), r["text_repairs"].alias("text_repairs"), r["node_repairs"].alias("node_repairs"), r["error"].alias("error"))
     audit.write.mode("append").parquet(path)
+
+
+def observed(df: DataFrame, name="repair_metrics", result: str = "repair") -> DataFrame:
+    """``df`` with outcome counters (``name``: a name or an ``Observation``) that Spark collects while another action runs."""
+    r = F.col(result)
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return df.observe(
+        name,
+        F.count(F.lit(1)).alias("rows"),
+        count(~r["succeeded"]).alias("failed"),
+        count(r["shape_status"] == "Mismatched").alias("mismatched"),
+        count(r["was_repaired"] & r["is_repair_accepted"]).alias("repaired"),
+        count(r["succeeded"] & ~r["was_repaired"]).alias("unchanged"),
+    )

@@ -136,3 +136,23 @@ def test_streaming_query(spark, tmp_path):
     for s in ("x", "y"):
         pieces = sorted((r.offset, r.text) for r in rows if r.kind == "delta" and r.stream_id == s)
         assert pieces and text.startswith("".join(p for _, p in pieces))
+
+
+def test_codecs_and_struct_schemas(spark):
+    from pyspark.sql import Observation
+    from pyspark.sql import types as T
+
+    from jsonmend.functions.codec import arguments_from_json, arguments_to_json, schema_of_struct, schema_text
+    from jsonmend.kernel.schema import compile_schema
+
+    struct = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("tags", T.ArrayType(T.StringType(), False)), T.StructField("raw", T.MapType(T.StringType(), T.DoubleType(), False), False)])
+    assert schema_of_struct(struct)["required"] == ["id", "raw"]
+    compiled = compile_schema(schema_text(struct))
+    assert compiled.errors({"id": 1, "tags": None, "raw": {"x": 1.5}}) == [] and compiled.errors({"tags": []}) == ["$.id is required.", "$.raw is required."]
+    df = spark.createDataFrame([('{"a":1,"b":"x"}',), ("[1]",), ("bad",), (None,)], "t string")
+    rows = df.select(arguments_from_json(F.col("t")).alias("m")).select(F.size(F.map_keys("m")).alias("n"), arguments_to_json(F.col("m")).alias("j")).collect()
+    assert rows[0].j == '{"a":1,"b":"x"}' and all(r.j is None for r in rows[1:])
+    seen = Observation("seen")
+    out = audit.observed(repair_df(df, "t"), seen)
+    out.count()
+    assert seen.get["rows"] == 4 and seen.get["unchanged"] == 2
