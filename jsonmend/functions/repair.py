@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jsonmend.functions.result import RESULT_TYPE, as_row
+from jsonmend.functions.result import RESULT_TYPE, as_array
 from jsonmend.kernel import texts
 from jsonmend.kernel.engine import Options, engine_for
 from jsonmend.kernel.schema import compile_schema
@@ -41,30 +42,26 @@ def json_repair(text: Column, schema: str | Column | None = None, options: Optio
     """
     options = options or Options()
 
-    def rows(batch: pd.Series, schemas) -> pd.DataFrame:
+    def results(batch: pa.Array, schemas) -> pa.Array:
         engine = engine_for(options)
-        found = [None if t is None else as_row(engine.repair(t, compile_schema(s) if isinstance(s, str) else None)) for t, s in zip(batch, schemas, strict=True)]
-        blank = dict.fromkeys(as_row(engine.repair("0")))
-        out = pd.DataFrame([r or blank for r in found], columns=list(blank))
-        return out
+        pairs = zip(batch.to_pylist(), schemas, strict=True)
+        return as_array([None if t is None else engine.repair(t, compile_schema(s)) for t, s in pairs])
 
     if isinstance(schema, Column):
 
-        @F.pandas_udf(RESULT_TYPE)
-        def run_each(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        @F.arrow_udf(RESULT_TYPE)
+        def run_each(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             for batch, schemas in parts:
-                yield rows(batch, schemas)
+                yield results(batch, schemas.to_pylist())
 
-        result = run_each.asNondeterministic()(text, schema)
-    else:
+        return run_each.asNondeterministic()(text, schema)
 
-        @F.pandas_udf(RESULT_TYPE)
-        def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for batch in parts:
-                yield rows(batch, [schema] * len(batch))
+    @F.arrow_udf(RESULT_TYPE)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in parts:
+            yield results(batch, [schema] * len(batch))
 
-        result = run.asNondeterministic()(text)
-    return result
+    return run.asNondeterministic()(text)
 
 
 def json_shape_errors(text: Column, schema: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +17,23 @@ RESULT_TYPE = (
     "succeeded_by:string,confidence:double,error:struct<kind:string,message:string>>"
 )
 
+_TEXTS = pa.list_(pa.string())
+_ARROW_REPORTS = pa.list_(pa.struct([("name", pa.string()), ("status", pa.string()), ("note", pa.string())]))
+_ARROW_TOLERANT = pa.struct([("succeeded", pa.bool_()), ("outcome", pa.string()), ("correction_count", pa.int32()), ("schema_string_correction_count", pa.int32()), ("corrections", _TEXTS)])
+#: The same type for Arrow.
+ARROW_TYPE = pa.struct(
+    [
+        ("succeeded", pa.bool_()), ("is_repair_accepted", pa.bool_()), ("was_repaired", pa.bool_()), ("repaired_text", pa.string()), ("shape_status", pa.string()),
+        ("shape_errors", _TEXTS), ("text_repairs", _ARROW_REPORTS), ("node_repairs", _ARROW_REPORTS), ("tolerant", _ARROW_TOLERANT),
+        ("succeeded_by", pa.string()), ("confidence", pa.float64()), ("error", pa.struct([("kind", pa.string()), ("message", pa.string())])),
+    ]
+)
+
+
+def as_array(results: list[Result | None]) -> pa.Array:
+    """Results as one Arrow array; None becomes a null struct."""
+    return pa.array([as_row(r) for r in results], ARROW_TYPE)
+
 
 def as_row(r: Result | None) -> dict | None:
     """A kernel result as the struct's fields."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from jsonmend.functions.result import RESULT_TYPE, as_row
+from jsonmend.functions.result import RESULT_TYPE, as_array
 from jsonmend.kernel.engine import Options, engine_for
 from jsonmend.kernel.schema import compile_schema
 
@@ -18,12 +18,11 @@ def register(spark: SparkSession, options: Options | None = None) -> None:
     """
     options = options or Options()
 
-    @F.pandas_udf(RESULT_TYPE)
-    def json_repair(batch: pd.Series, schemas: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(RESULT_TYPE)
+    def json_repair(batch: pa.Array, schemas: pa.Array) -> pa.Array:
         engine = engine_for(options)
-        blank = dict.fromkeys(as_row(engine.repair("0")))
-        found = [as_row(engine.repair(t, compile_schema(s))) if t is not None else blank for t, s in zip(batch, schemas, strict=True)]
-        return pd.DataFrame(found, columns=list(blank))
+        pairs = zip(batch.to_pylist(), schemas.to_pylist(), strict=True)
+        return as_array([None if t is None else engine.repair(t, compile_schema(s)) for t, s in pairs])
 
     class RepairReports:
         """One row a step, in order."""

@@ -30,6 +30,18 @@ def untouched(text: Column, options: Options) -> Column:
     return F.struct(*[c.alias(n) for n, c in parts.items()]).cast(RESULT_TYPE)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it has fewer partitions than that; large inputs stay as they are.
+
+    The kernel is bound by CPU, not by bytes, and Spark packs small files into
+    one partition.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def repair_df(df: DataFrame, column: str, schema: str | Column | None = None, options: Options | None = None, out: str = "repair", native_gate: bool = True) -> DataFrame:
     """``df`` with the result struct in ``out`` (replacing a column of that name).
 
@@ -37,6 +49,7 @@ def repair_df(df: DataFrame, column: str, schema: str | Column | None = None, op
     kernel gets null for them and their result is built in place.
     """
     options = options or Options()
+    df = spread(df)
     text = F.col(column).cast("string")
     if schema is not None or not native_gate:
         return df.withColumn(out, json_repair(text, schema, options))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jsonmend.functions.repair import json_repair, json_shape_errors, passes_gate, plain_delimiters, unwrap_simple_fence
 from jsonmend.functions.result import confidence
 from jsonmend.operators import audit, chat
-from jsonmend.operators.frame import repair_df
+from jsonmend.operators.frame import repair_df, spread
 from jsonmend.kernel.engine import Options
 from jsonmend.sources.damage import DAMAGE
 from jsonmend.streaming.deltas import feed
@@ -75,7 +75,7 @@ def valid_passthrough(spark, sf_dir):
 @_register("gate_agrees", "SELECT count(*)::BIGINT AS rows, 0::BIGINT AS wrongly_passed FROM orders")
 def gate_agrees(spark, sf_dir):
     """The native gate passes nothing that the kernel would change."""
-    df = _orders(spark, sf_dir)
+    df = spread(_orders(spark, sf_dir))
     damaged = F.when(F.col("o_orderkey") % 2 == 0, F.col("j")).otherwise(F.concat("j", F.lit(",")))
     out = df.select(passes_gate(damaged).alias("gate"), json_repair(damaged).alias("r"))
     return out.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("gate") & F.col("r.was_repaired")).cast("long")).alias("wrongly_passed"))
@@ -240,14 +240,14 @@ def rollback_chain(spark, sf_dir):
 @_register("tool_calls", "SELECT o_orderkey::BIGINT AS k, o_orderstatus AS s, o_orderpriority AS p, 'get_order' AS name FROM orders")
 def tool_calls(spark, sf_dir):
     tools = spark.createDataFrame([("get_order", _schema()), ("get_order", '{"type":"object"}'), ("other", '{"type":"object"}')], "name string, schema_json string")
-    calls = _orders(spark, sf_dir).select(F.lit("get_order").alias("name"), DAMAGE["missing_closer"](F.col("j")).alias("arguments"))
+    calls = spread(_orders(spark, sf_dir)).select(F.lit("get_order").alias("name"), DAMAGE["missing_closer"](F.col("j")).alias("arguments"))
     return chat.repair_tool_calls(calls, tools).select(*_fields(F.col("arguments")), "name")
 
 
 @_register("plausibility_guard", "SELECT count(*)::BIGINT AS rows, count(*)::BIGINT AS unchanged FROM orders")
 def plausibility_guard(spark, sf_dir):
     """Prose is not replaced by the string that salvage makes of it."""
-    messages = _orders(spark, sf_dir).select(F.lit("None of this is JSON.").alias("text"))
+    messages = spread(_orders(spark, sf_dir)).select(F.lit("None of this is JSON.").alias("text"))
     out = chat.repair_response_texts(messages, json_format=F.lit(True))
     return out.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("text") == "None of this is JSON.").cast("long")).alias("unchanged"))
 
