@@ -36,10 +36,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonmend.llm.common import read_table
+from jsonmend.llm.common import read_table, release, small_batches
 
 #: Entries after which the transition and word tables are cleared (a memory bound only).
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 60_000
 
 
 def byte_letters() -> list[str]:
@@ -165,12 +165,14 @@ class Codec:
         self.fold = any(s["type"] == "Lowercase" for s in steps)
         self.compose = any(s["type"] == "NFC" for s in steps)
         split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.find = regex.compile(split["pattern"]["Regex"]).findall
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.find = self.pattern.findall
         self.odd_space = re.compile("[\x1c-\x1f]").search  # spaces for str.split, not for the file's pattern
         self.bytes = {chr(b): letter for b, letter in enumerate(byte_letters())}
         self.table = str.maketrans(self.bytes)
         self.seen: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = {}
 
     def _piece(self, text: str, out: list[int]) -> None:
         # White space only separates here, so the file's white-space replacement changes nothing.
@@ -198,10 +200,22 @@ class Codec:
 
     def _words(self, run: str) -> list[int]:
         out: list[int] = []
-        for word in self.find(run):
-            if not (word.isascii() and word.isprintable()):
-                word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
-            out += self.automaton.encode_word(word)
+        words = self.words
+        found = self.find(run)
+        if not run.isascii() and any(unicodedata.category(c) == "Cn" for c in run):
+            # unassigned code points are neither letters nor numbers, which the pattern library may not know
+            shadow = "".join("!" if unicodedata.category(c) == "Cn" else c for c in run)
+            found = [run[m.start() : m.end()] for m in self.pattern.finditer(shadow)]
+        for word in found:
+            ids = words.get(word)
+            if ids is None:
+                plain = word.isascii() and word.isprintable()
+                ids = self.automaton.encode_word(word if plain else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table))
+                if len(word) <= 64:
+                    if len(words) >= TABLE_ENTRIES:
+                        words.clear()
+                    words[word] = ids
+            out += ids
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -250,6 +264,7 @@ def encode_documents(
     the arc labels with spaces.  Null and empty texts have no ids and decode to
     the empty string; null ids and repeated rows pass through.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -264,6 +279,7 @@ def encode_documents(
                 texts = [own.decode(ids) if decode else None for ids in rows]
                 columns = [pa.array([OUTPUTS[o][2](i, t) for i, t in zip(rows, texts, strict=True)], OUTPUTS[o][0]) for o in outputs]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", *outputs])
+        release()
 
     kind = picked.schema["id"].dataType.simpleString()
     return picked.mapInArrow(encode, ", ".join([f"id {kind}", *(f"{o} {OUTPUTS[o][1]}" for o in outputs)])).withColumnRenamed("id", id_col)

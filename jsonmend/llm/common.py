@@ -67,6 +67,29 @@ def fold_bucket(name: str, modulus: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % modulus
 
 
+#: Rows in an Arrow batch; Spark's default of 10,000 whole documents is tens of MB on either side.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows, unless the session already asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give unused memory back once a task's last batch is done; Python workers live on."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(texts, budget: int = 4_000_000):
     """Cut a list of texts into (start, end) runs of about ``budget`` characters."""
     start, used = 0, 0

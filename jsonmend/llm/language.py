@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonmend.llm.common import fold_bucket, fresh, read_table, text_slices
+from jsonmend.llm.common import fold_bucket, fresh, read_table, release, small_batches, text_slices
 
 #: Labelled documents a language that training looks at.
 PER_LANGUAGE = 1500
@@ -110,7 +110,7 @@ class Model:
         if not self.languages:
             return out
         lettered = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-        for a, b in text_slices([texts[k] for k in lettered], 400_000):
+        for a, b in text_slices([texts[k] for k in lettered], 200_000):
             loss = self.losses([texts[k] for k in lettered[a:b]])
             odds = np.exp(-4 * (loss - loss.min(axis=1, keepdims=True)))
             first = loss.argmin(axis=1)
@@ -140,6 +140,7 @@ def train(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col:
                 slots, _ = gram_slots([text])
                 totals.setdefault(lang, np.zeros(FEATURES))
                 totals[lang] += np.bincount(slots.reshape(-1), minlength=FEATURES)
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["lang", "counts"])
 
     def add(pdf):
@@ -162,6 +163,7 @@ def predict_language(docs: DataFrame, model: Model, text_col: str = "text") -> D
     does everything when no language was learned.  Extra columns pass through.
     """
     kept = [c for c in docs.columns if c not in OUTPUTS]
+    small_batches(docs.sparkSession)
     own = fresh(docs, "__text")
     picked = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias(own))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -169,10 +171,12 @@ def predict_language(docs: DataFrame, model: Model, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shipped.value.predict(batch.column(width).to_pylist())
-            lang, score, flag = zip(*found, strict=True) if found else ((), (), ())
-            added = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(flag, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *added], [*kept, *OUTPUTS])
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                lang, score, flag = zip(*shipped.value.predict(part.column(width).to_pylist()), strict=True)
+                added = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(flag, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *added], [*kept, *OUTPUTS])
+        release()
 
     schema = picked.drop(own).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_ambiguous", "boolean")
     return picked.mapInArrow(run, schema)

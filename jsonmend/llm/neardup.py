@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonmend.llm.common import discard, fresh, materialize, read_table, text_slices
+from jsonmend.llm.common import discard, fresh, materialize, read_table, release, small_batches, text_slices
 from jsonmend.llm.components import components
 
 #: Signature slots in a band.
@@ -131,11 +131,14 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _batched(batches: Iterator[pa.RecordBatch], width: int):
-    """(ids, sets) of runs of about a million characters."""
+    """(ids, sets) of runs of about half a million characters."""
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a, b in text_slices([t or "" for t in texts], 1_000_000):
-            yield batch.column(0).slice(a, b - a), shingle_sets(texts[a:b], width)
+        for start in range(0, batch.num_rows, 1024):
+            part = batch.slice(start, 1024)
+            texts = part.column(1).to_pylist()
+            for a, b in text_slices([t or "" for t in texts], 500_000):
+                yield part.column(0).slice(a, b - a), shingle_sets(texts[a:b], width)
+    release()
 
 
 def _print_of(s: np.ndarray) -> bytes:
@@ -323,6 +326,7 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     gives no row.
     """
     bands = bands_for(percent)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = materialize(docs.mapInArrow(_sketches(width, bands, ROWS), "doc_id long, n long, print binary, keys array<long>"), "sketches")
     usable = sketch.filter("n > 0 AND doc_id IS NOT NULL")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonmend.llm.common import fold_bucket, fresh, read_table, text_slices
+from jsonmend.llm.common import fold_bucket, fresh, read_table, release, small_batches, text_slices
 
 #: Labelled documents of a class that training reads, and the most lines of one.
 PER_CLASS = 1200
@@ -259,6 +259,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     Null counts as the empty text, which is one empty line and gets a score too.
     """
     kept = [c for c in docs.columns if c != "quality_score"]
+    small_batches(docs.sparkSession)
     own = fresh(docs, "__text")
     picked = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(own))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -270,6 +271,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             parts = [shipped.value.scores(texts[a:b]) for a, b in text_slices(texts, 1_000_000)]
             score = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(score, pa.float64())], [*kept, "quality_score"])
+        release()
 
     return picked.mapInArrow(run, picked.drop(own).schema.add("quality_score", "double"))
 

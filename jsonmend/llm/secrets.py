@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonmend.llm.common import read_table, text_slices
+from jsonmend.llm.common import read_table, small_batches, text_slices
 
 
 @dataclass(frozen=True)
@@ -284,6 +284,7 @@ def scan_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
     Letters of case-blind rules match in either ASCII case.  Null and empty
     texts have no spans; null ids and repeated rows pass through.
     """
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     out = picked.mapInArrow(_scanner(rules), f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
