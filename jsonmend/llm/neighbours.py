@@ -9,13 +9,15 @@ A query visits its own bucket and perturbed ones.  Perturbation sets are ordered
 by estimated success: one template over the ranks of the 2K sorted cell-edge
 distances, with their expected squares as costs (Lv et al.), mapped onto each
 query's own order.  The number of probes is calibrated on a bounded sample
-against brute force; nearer neighbours in the full table are only easier.
+against brute force; nearer neighbours in the full table are only easier.  Where
+``MOST_PROBES`` probes do not reach the recall, K is lowered, so buckets grow,
+until they do; where no K does, every query is scored against all vectors.
 
 Buckets are hashed to groups of about ``GROUP`` vectors; a bucket larger than
 ``HOT`` is salted over several.  A group meets the queries that probe its
 buckets, scores them bucket by bucket in double precision and keeps each query's
-best; the tables' candidates are merged by query.  Queries that found too few
-are scored against all vectors, group by group.
+best; the tables' candidates are merged by query.  Queries that found too few,
+or all if no K sufficed, are scored against all vectors, group by group.
 
 Equal vectors are one entry with their smallest ids, so a vector that a third of
 the rows share costs one candidate.
@@ -42,8 +44,10 @@ GROUP = 32_768
 HOT = 16_384
 #: Queries that meet a group at once.
 QUERIES = 8_192
-#: Sample for calibration, its queries, the recall it must show, and the most probes.
+#: Sample for calibration, its queries, the recall it must show, and the most probes of a hasher.
 SAMPLE, SAMPLE_QUERIES, RECALL, MOST_PROBES = 4_096, 128, 0.96, 6_000
+#: The most and fewest cells that a table concatenates.
+MOST_K, LEAST_K = 20, 4
 
 
 def probe_template(k: int, probes: int) -> np.ndarray:
@@ -115,18 +119,36 @@ class Hasher:
 
 
 def calibrated(sample: np.ndarray, near: int, bound: float, rows: int) -> Hasher:
-    """A hasher whose probes reach ``RECALL`` of the ``near`` nearest within the sample."""
-    k = int(np.clip(round(np.log2(max(rows, 2))), 4, 20))
-    trial = Hasher.build(sample.shape[1], k, bound, 1.0)
+    """A hasher whose probes reach ``RECALL`` of the ``near`` nearest within the sample.
+
+    K starts at what the row count suggests and is lowered until the recall is
+    reached.  A template without probes says that no K reaches it.
+    """
+    start = int(np.clip(round(np.log2(max(rows, 2))), LEAST_K, MOST_K))
+    trial = Hasher.build(sample.shape[1], start, bound, 1.0)
     spread = float(np.median(trial.cells(sample, False).std(axis=0))) * trial.width
-    hasher = Hasher.build(sample.shape[1], k, bound, max(spread, 1e-9 * bound))
-    hasher.template = probe_template(k, MOST_PROBES)
-    queries = sample[:: max(1, len(sample) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
+    asked = np.arange(0, len(sample), max(1, len(sample) // SAMPLE_QUERIES))[:SAMPLE_QUERIES]
+    queries = sample[asked]
     score = queries @ sample.T
-    keep = min(near + 1, len(sample))
-    truth = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+    score[np.arange(len(asked)), asked] = -np.inf  # its own bucket always holds a query: no evidence
+    keep = min(near, len(sample) - 1)
+    truth = np.argpartition(-score, keep, axis=1)[:, :keep]
+    for k in range(start, LEAST_K - 1, -1):
+        hasher = Hasher.build(sample.shape[1], k, bound, max(spread, 1e-9 * bound))
+        hasher.template = probe_template(k, MOST_PROBES)
+        first = _first_hits(hasher, sample, queries, truth)
+        needed = int(np.quantile(first, RECALL, method="higher")) + 1 if first.size else 1
+        if needed <= len(hasher.template):
+            break
+        needed = 0
+    hasher.template = hasher.template[:needed]
+    return hasher
+
+
+def _first_hits(hasher: Hasher, sample: np.ndarray, queries: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """The first probe, over all tables, that finds each of the ``truth`` rows; the template's length if none does."""
     buckets, probes = hasher.buckets(sample), hasher.probes(queries)
-    first = np.full((len(queries), keep), len(hasher.template))
+    first = np.full(truth.shape, len(hasher.template))
     for q in range(len(queries)):
         for t in range(buckets.shape[1]):
             order = np.argsort(probes[q, t], kind="stable")
@@ -134,9 +156,7 @@ def calibrated(sample: np.ndarray, near: int, bound: float, rows: int) -> Hasher
             place = np.minimum(np.searchsorted(probes[q, t], sought, sorter=order), len(order) - 1)
             hit = probes[q, t][order[place]] == sought
             first[q] = np.minimum(first[q], np.where(hit, order[place], len(hasher.template)))
-    needed = int(np.quantile(first, RECALL, method="higher")) + 1
-    hasher.template = hasher.template[: min(needed, len(hasher.template))]
-    return hasher
+    return first
 
 
 def _vectors(column) -> np.ndarray:
@@ -296,7 +316,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, near: int = 20, id_col: str
 
     asked_uids = query_ids.select("uid").distinct()
     n_queries = max(1, asked_uids.count())
-    splits = -(-n_queries * min(len(hasher.value.template), groups) // (groups * QUERIES))
+    visits = min(len(hasher.value.template), groups) or groups  # without probes all queries meet all groups
+    splits = -(-n_queries * visits // (groups * QUERIES))
     split = lambda c: F.pmod(F.xxhash64(c), F.lit(splits))
     indexed = packed.mapInArrow(deal, "gid long, uid long, bucket long, vec binary").withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))))
     wanted = packed.join(asked_uids, "uid", "left_semi")

@@ -239,6 +239,34 @@ def test_neighbours_recall(spark):
     assert np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize("rows", [5_000, 1_000_000, 100_000_000])
+def test_calibration_reaches_the_recall_at_any_row_count(rows):
+    x = np.random.default_rng(6).normal(size=(2048, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hasher = neighbours.calibrated(x, 20, 1.0, rows)
+    buckets, asked = hasher.buckets(x), range(7, 2048, 32)
+    recall = []
+    for q, probes in zip(asked, hasher.probes(x[asked]), strict=True):
+        score = x @ x[q]
+        score[q] = -np.inf
+        seen = np.array([np.isin(buckets[:, t], probes[t]) for t in range(neighbours.TABLES)]).any(axis=0)
+        recall.append(seen[np.argsort(-score)[:20]].mean())
+    assert np.mean(recall) >= 0.9 and len(hasher.template) <= neighbours.MOST_PROBES
+
+
+def test_neighbours_are_exact_where_no_probing_suffices(spark):
+    # Norms so uneven that the added coordinate sets vectors far off the queries' cells at every K.
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 16)) * np.exp(1.5 * rng.normal(size=600))[:, None]
+    bound = float(np.linalg.norm(x, axis=1).max())
+    assert len(neighbours.calibrated(x, 20, bound, 600).template) == 0
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = neighbours.nearest(table, table.filter("vec_id % 20 = 0")).collect()
+    for q in range(0, 600, 20):
+        mine = [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)]
+        assert mine == sorted((k for k in range(600) if k != q), key=lambda k: (-(x[k] * x[q]).sum(), k))[:20]
+
+
 def test_probe_template_orders_by_cost():
     template = neighbours.probe_template(4, 50)
     assert not template[0].any() and len({tuple(sorted(r)) for r in template.tolist()}) == len(template)
