@@ -7,12 +7,14 @@ A document's raw quality is the length-weighted mean of its lines'
 forward-backward marginals of being good; a logistic calibration on the same
 sample turns it into the score.
 
-Training reads at most ``PER_CLASS`` documents a label, of up to ``MOST_LINES``
-lines; scoring reads every line of every document.
+Training reads every line of at most about ``PER_CLASS`` documents a label; the
+lines' features lie in a file of the driver and are read in blocks.  Scoring
+reads every line of every document.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +25,10 @@ from pyspark.sql import functions as F
 
 from jsonmend.llm.common import fold_bucket, fresh, read_table, release, small_batches, text_slices
 
-#: Labelled documents of a class that training reads, and the most lines of one.
+#: Labelled documents of a class that training reads.
 PER_CLASS = 1200
-MOST_LINES = 2000
+#: Lines whose features training holds in memory at once.
+BLOCK = 65_536
 #: Cells of a padded batch in the forward-backward pass.
 _CELLS = 400_000
 
@@ -185,27 +188,84 @@ def neutral() -> Model:
     return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), 0.0, 0.0)
 
 
+class _Lines:
+    """Own features of all lines in a temporary file, as if ``with_neighbours`` and scaling had been applied."""
+
+    #: Where ``with_neighbours`` puts the own features, those of the line before and of the line after.
+    _COLUMNS = np.array([[*range(OWN)], [3 * OWN - 2, *range(OWN, 2 * OWN - 1)], [3 * OWN - 1, *range(2 * OWN - 1, 3 * OWN - 2)]])
+
+    def __init__(self, texts: list[str]):
+        self.file = tempfile.TemporaryFile()
+        sizes, counts = [], []
+        for a, b in text_slices(texts, 1_000_000):
+            own, size, count = line_features(texts[a:b])
+            self.file.write(own.tobytes())
+            sizes.append(size)
+            counts.append(count)
+        self.file.flush()
+        self.size, self.counts = np.concatenate(sizes), np.concatenate(counts)
+        self.rows = len(self.size)
+        self.own = np.memmap(self.file, np.float64, "r", shape=(self.rows, OWN))
+        self.ends = np.cumsum(self.counts)
+        self.starts = self.ends - self.counts
+        # A line before the first or after the last of a document is all zeros.
+        lost = [None, np.array(self.own[self.ends - 1]), np.array(self.own[self.starts])]
+        total = sum(block.sum(axis=0) for _, block in self._blocks())
+        self.mean, self.spread = np.empty(3 * OWN), np.empty(3 * OWN)
+        for at, gone in zip(self._COLUMNS, lost, strict=True):
+            mean = (total - (0 if gone is None else gone.sum(axis=0))) / self.rows
+            square = sum(((block - mean) ** 2).sum(axis=0) for _, block in self._blocks())
+            if gone is not None:
+                square += len(gone) * mean**2 - ((gone - mean) ** 2).sum(axis=0)
+            self.mean[at], self.spread[at] = mean, np.sqrt(np.maximum(square, 0) / self.rows)
+        self.mean[0], self.spread = 0.0, np.where(self.spread < 1e-6, 1.0, self.spread)
+
+    def _blocks(self):
+        for a in range(0, self.rows, BLOCK):
+            yield slice(a, a + BLOCK), np.array(self.own[a : a + BLOCK])
+
+    def emission(self, weights: np.ndarray) -> np.ndarray:
+        """The scaled features times ``weights``."""
+        scaled = weights / self.spread
+        part = np.empty((self.rows, 3))
+        for at, block in self._blocks():
+            part[at] = block @ scaled[self._COLUMNS].T
+        out = part[:, 0] - self.mean @ scaled
+        before, after = np.zeros(self.rows), np.zeros(self.rows)
+        before[1:], after[:-1] = part[:-1, 1], part[1:, 2]
+        before[self.starts], after[self.ends - 1] = 0, 0
+        return out + before + after
+
+    def gradient(self, error: np.ndarray) -> np.ndarray:
+        """The transposed scaled features times ``error``."""
+        part = np.zeros((self.rows, 3))
+        part[:, 0] = error
+        part[:-1, 1], part[1:, 2] = error[1:], error[:-1]
+        part[self.ends - 1, 1], part[self.starts, 2] = 0, 0
+        out = np.empty(3 * OWN)
+        out[self._COLUMNS] = sum(block.T @ part[at] for at, block in self._blocks()).T
+        return (out - self.mean * error.sum()) / self.spread
+
+
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 150) -> Model:
     """Maximum likelihood with a ridge, by Adam on the whole sample."""
     if len(set(labels.tolist())) < 2:
         return neutral()
-    own, size, counts = line_features(texts)
-    features = with_neighbours(own, counts)
-    mean, spread = features.mean(axis=0), features.std(axis=0)
-    mean[0], spread = 0.0, np.where(spread < 1e-6, 1.0, spread)
-    features = (features - mean) / spread
+    lines = _Lines(texts)
+    size, counts = lines.size, lines.counts
     state = np.repeat(labels.astype(np.float64), counts)
     weight = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean())
     per_line = np.repeat(weight, counts)
-    batches = list(_padded(features[:, 0], counts))
-    model = Model(mean, spread, np.zeros(features.shape[1]), np.zeros((2, 2)))
-    theta = np.zeros(features.shape[1] + 4)
+    batches = list(_padded(state, counts))
+    width = 3 * OWN
+    model = Model(lines.mean, lines.spread, np.zeros(width), np.zeros((2, 2)))
+    theta = np.zeros(width + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         model.weights, model.transition = theta[:-4], theta[-4:].reshape(2, 2)
-        emission = features @ model.weights
+        emission = lines.emission(model.weights)
         grad, moves = 0.01 * theta * len(texts) / 10, np.zeros((2, 2))
-        error = np.zeros(len(features))
+        error = np.zeros(lines.rows)
         for docs, at, present in batches:
             marginal, pairs, _ = forward_backward(emission[at], present, model.transition, weight[docs])
             error[at[present]] = marginal[present]
@@ -213,13 +273,13 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150) -> Model:
             for side in (0, 1):
                 own = labels[docs] == side
                 moves[side, side] -= ((present.sum(axis=1) - 1) * weight[docs])[own].sum()
-        grad[:-4] += features.T @ ((error - state) * per_line)
+        grad[:-4] += lines.gradient((error - state) * per_line)
         grad[-4:] += moves.reshape(-1)
         grad /= len(texts)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     model.weights, model.transition = theta[:-4].copy(), theta[-4:].reshape(2, 2).copy()
-    raw = model._aggregate(features @ model.weights, size, counts)
+    raw = model._aggregate(lines.emission(model.weights), size, counts)
     slope, offset = 6.0, -3.0
     for _ in range(50):  # Newton steps of a ridged logistic regression
         p = 1 / (1 + np.exp(-np.clip(slope * raw + offset, -30, 30)))
@@ -248,7 +308,6 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label_col: str
     sample = usable.filter(draw < share).limit(4 * PER_CLASS)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(sample), "id")
-    own = own.filter(F.size(F.split("text", "\n")) <= MOST_LINES)
     rows = own.groupBy("id", "label").agg(F.min("text").alias("text")).orderBy("id", "label").collect()
     return fit([r["text"] for r in rows], np.array([r["label"] for r in rows])) if rows else neutral()
 

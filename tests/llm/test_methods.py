@@ -121,6 +121,31 @@ def test_quality_separates():
     assert 0 <= model.scores([""])[0] <= 1
 
 
+def test_quality_learns_from_documents_of_many_lines(spark):
+    rng = random.Random(12)
+    good = [_prose(rng, LANGS["aa"], 20) for _ in range(12)]
+    bad = ["\n".join(["7 | 8 | 9", "x | y"] * 1100) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 12)) for k in range(24)], "doc_id long, quality int")
+    model = quality.train(docs, labels, F.lit(True))
+    assert min(model.scores(good)) > 0.5 > max(model.scores(bad[:1]))
+
+
+def test_blocks_of_lines_give_the_features_of_all(monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    rng = random.Random(13)
+    texts = ["\n".join(_prose(rng, LANGS["bb"], rng.randrange(1, 9)) for _ in range(rng.randrange(1, 30))) for _ in range(20)] + ["", "\n\n"]
+    own, size, counts = quality.line_features(texts)
+    full = quality.with_neighbours(own, counts)
+    lines = quality._Lines(texts)
+    scaled = (full - lines.mean) / lines.spread
+    draw = np.random.default_rng(14)
+    weights, error = draw.normal(size=full.shape[1]), draw.normal(size=len(full))
+    assert np.allclose(lines.mean[1:], full.mean(axis=0)[1:]) and np.allclose(lines.spread, np.where(full.std(axis=0) < 1e-6, 1, full.std(axis=0)))
+    assert np.allclose(lines.emission(weights), scaled @ weights) and np.allclose(lines.gradient(error), scaled.T @ error)
+    assert (lines.size == size).all() and (lines.counts == counts).all()
+
+
 # ---- near duplicates
 
 
