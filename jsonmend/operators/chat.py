@@ -13,7 +13,7 @@ from jsonmend.kernel.engine import Options
 
 @dataclass(frozen=True)
 class ChatOptions:
-    """What is repaired; ``schema`` of a call or text may come from a column instead of the tools."""
+    """What is repaired, and whether the audit column ``repair`` stays; ``schema`` of a call or text may come from a column instead of the tools."""
 
     repair_calls: bool = True
     repair_texts: bool = True
@@ -28,21 +28,23 @@ def tool_schemas(tools: DataFrame, order: str | None = None) -> DataFrame:
     return usable.withColumn("__place", place).filter("__place = 1").select("name", "schema_json")
 
 
-def repair_tool_calls(calls: DataFrame, tools: DataFrame, options: Options | None = None, order: str | None = None, resolver: Column | None = None) -> DataFrame:
+def repair_tool_calls(calls: DataFrame, tools: DataFrame, options: Options | None = None, order: str | None = None, resolver: Column | None = None, chat: ChatOptions = ChatOptions()) -> DataFrame:
     """``calls`` (name, arguments, informational, …) with repaired ``arguments`` and ``repair``.
 
     Arguments are replaced only by an accepted, changed object; informational
-    calls stay as they are.  The tool table is small by nature; Spark broadcasts
+    calls, or all without ``repair_calls``, stay as they are.  The tool table is small by nature; Spark broadcasts
     it while it is under the session's threshold and shuffles it otherwise.
     """
     known = tool_schemas(tools, order)
     joined = calls.join(known, "name", "left")
     schema = F.coalesce(resolver, F.col("schema_json")) if resolver is not None else F.col("schema_json")
     active = ~F.coalesce(F.col("informational"), F.lit(False)) if "informational" in calls.columns else F.lit(True)
-    run = joined.withColumn("repair", json_repair(F.when(active, F.col("arguments")), schema, options))
+    wanted = F.when(active, F.col("arguments")) if chat.repair_calls else F.lit(None).cast("string")
+    run = joined.withColumn("repair", json_repair(wanted, schema, options))
     r = F.col("repair")
     take = r["is_repair_accepted"] & r["was_repaired"] & r["repaired_text"].startswith("{")
-    return run.withColumn("arguments", F.when(take, r["repaired_text"]).otherwise(F.col("arguments"))).drop("schema_json")
+    out = run.withColumn("arguments", F.when(take, r["repaired_text"]).otherwise(F.col("arguments"))).drop("schema_json")
+    return out if chat.keep_audit else out.drop("repair")
 
 
 def plausible(text: Column) -> Column:
@@ -65,4 +67,5 @@ def repair_response_texts(messages: DataFrame, column: str = "text", schema: Col
     run = messages.withColumn("repair", json_repair(wanted, schema if schema is not None else None, options))
     r = F.col("repair")
     take = r["is_repair_accepted"] & r["was_repaired"] & (expected | r["repaired_text"].rlike(r"^[{\[]"))
-    return run.withColumn(column, F.when(take, r["repaired_text"]).otherwise(text))
+    out = run.withColumn(column, F.when(take, r["repaired_text"]).otherwise(text))
+    return out if chat.keep_audit else out.drop("repair")

@@ -96,6 +96,18 @@ def test_chat_tables(spark):
     assert opted == {1: "Hello! How can I help?", 2: '{"a":1}', 3: "[1]"}
 
 
+def test_chat_options(spark):
+    tools = spark.createDataFrame([("apply", '{"type":"object"}')], "name string, schema_json string")
+    calls = spark.createDataFrame([(1, "apply", "{a:1"), (2, "none", "{b:2")], "id long, name string, arguments string")
+    off = chat.repair_tool_calls(calls, tools, chat=chat.ChatOptions(repair_calls=False))
+    assert {r.id: r.arguments for r in off.collect()} == {1: "{a:1", 2: "{b:2"} and "repair" in off.columns
+    bare = chat.repair_tool_calls(calls, tools, chat=chat.ChatOptions(keep_audit=False))
+    assert {r.id: r.arguments for r in bare.collect()} == {1: '{"a":1}', 2: '{"b":2}'} and bare.columns == ["name", "id", "arguments"]
+    messages = spark.createDataFrame([(1, '{"a":1')], "id long, text string")
+    texts = chat.repair_response_texts(messages, chat=chat.ChatOptions(texts_without_schema=True, keep_audit=False))
+    assert texts.columns == messages.columns and texts.first().text == '{"a":1}'
+
+
 def test_readers_and_damage(spark, tmp_path):
     (tmp_path / "x.txt").write_text('{"a":1}\n{b:2}\n')
     assert read_payloads(spark, str(tmp_path / "x.txt")).count() == 2
