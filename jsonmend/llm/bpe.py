@@ -11,6 +11,10 @@ the merge that forbade them, and each token's left and right constituents with
 the merge that built it.  An arc exists from "after x" to y unless some
 forbidding gadget acted while the parts it names were still whole.
 
+Compiling stores those tables only: no state is split and no arc laid out, as all
+arcs between some 49,000 tokens are 2.4e9.  An arc is decided by walking both
+tokens' merge trees when it is first asked for, and memoised.
+
 A pre-split word is read symbol by symbol.  For each prefix there is exactly one
 accepting path that spells it, so the reader keeps its last arc; the arc for the
 next symbol is the one that ends there and that the transition table allows
@@ -71,7 +75,7 @@ class TokenizationAutomaton:
         self.arcs: dict[int, bool] = {}
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        """Merge number ``rank``: split the state after u, losing its arc v; add the arc w."""
+        """Merge number ``rank``: note that it takes the arc v from the state after u, and builds w; see ``allowed``."""
         self.banned.setdefault(u << 32 | v, rank)
         self.parts.setdefault(w, (u, v, rank))
 
