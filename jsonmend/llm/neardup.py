@@ -15,11 +15,18 @@ one leader; union-find merges what is linked.  Only buckets that still hold
 several components go on, and there only members outside the largest one
 (minors).  They are compared with their bucket if that is up to ``FEW`` pairs,
 less those that the distances to the common leader rule out (Jaccard distance is
-a metric) or that sizes rule out.  From larger buckets documents go whose
-unshared shingles alone forbid any partner; further leaders follow while they
-find links; and a prefix join on the differences from a common centre, complete
-for the threshold, decides the rest.  Every link is confirmed on the full
-shingle sets.
+a metric) or that sizes rule out.
+
+Larger buckets are decided around centres.  A centre is the document that meets
+most of a bucket's members elsewhere too, so one serves many buckets.  Members
+are compared with it, and with further leaders while those find links.  What
+stays apart is held as its difference from the centre.  A shingle in only one
+document's difference counts in every distance of that document; the number of
+such lone shingles and the size of the rest bound the distance of any two
+documents from below, and most are ruled out by the least values of the other
+components alone.  A prefix join over the remaining differences, rarest shingle
+first, complete for the threshold, decides the rest.  Every link is confirmed on
+the full shingle sets.
 
 A shingle is held as a 64-bit hash of its words' 64-bit SipHash values.
 """
@@ -47,7 +54,7 @@ MISS = 1e-7
 FEW = 1024
 #: Minors of a bucket up to which it gets no further leader.
 STRANGERS = 32
-#: Most star rounds before the prefix join takes over; they end once few links are found.
+#: Most rounds of leaders after the centres; they end once few links are found.
 STARS = 8
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -227,92 +234,124 @@ class _Search:
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & fit)
         return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
 
-    def hopeful(self, ids: DataFrame) -> DataFrame:
-        """(doc_id, size, shared): the documents that could still have a partner among ``ids``.
+    def centres(self, crowded: DataFrame) -> DataFrame:
+        """(key, centre): the document round which a crowded bucket is decided; it need not be a member.
 
-        ``shared`` are the shingles that two of them hold.  A document whose
-        other shingles outweigh the threshold has no partner whatever it is
-        compared with; taking it out may leave others alone, so this repeats.
+        A document in many crowded buckets lies in the middle of its kind.  Each
+        member's home is the best such document of its buckets, and a bucket
+        takes the home of most members, so that kindred buckets share a centre.
         """
-        own = self.sets.join(ids, "doc_id", "left_semi").select("doc_id", F.size("shingles").cast("long").alias("size"), F.col("shingles").alias("shared"))
-        own, rows = materialize(own, "hopeful-0"), None
-        for step in range(1, 4):
-            held = own.select("doc_id", F.explode("shared").alias("token")).groupBy("token").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("holders"))
-            lone = materialize(held.filter("holders = 1").groupBy("doc_id").agg(F.collect_list("token").alias("lone")), "lone-shingles")
-            shared = F.when(F.col("lone").isNull(), F.col("shared")).otherwise(F.array_except("shared", "lone"))
-            left = own.join(lone, "doc_id", "left").select("doc_id", "size", shared.alias("shared")).filter(100 * F.size("shared") >= self.percent * F.col("size"))
-            older, before = own, rows
-            own = materialize(left, f"hopeful-{step}")
-            discard(older)
-            rows = own.count()
-            if not rows or rows == before:
-                break
-        return own
-
-    def many(self, crowded: DataFrame, hopeful: DataFrame) -> DataFrame:
+        often = materialize(crowded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("buckets")), "buckets-of")
+        best = F.max(F.struct("buckets", (-F.col("doc_id")).alias("first"))).alias("best")
+        tops = materialize(crowded.select("key", "doc_id").join(often, "doc_id").groupBy("key").agg(best), "tops")
+        homes = materialize(crowded.select("key", "doc_id").join(tops, "key").groupBy("doc_id").agg((-F.max("best")["first"]).alias("home")), "homes")
+        votes = crowded.select("key", "doc_id").join(homes, "doc_id").groupBy("key", "home").agg(F.count(F.lit(1)).alias("votes"))
+        most = F.max(F.struct("votes", (-F.col("home")).alias("first")))
+        return materialize(votes.groupBy("key").agg((-most["first"]).alias("centre")), "centres")
+
+    def reachable(self, rows: DataFrame, label: str) -> DataFrame:
+        """``rows`` (centre, doc_id, comp, n, lone, rest, …) without those that no other component reaches; adds far, near, slack.
+
+        For two documents of one centre the distance is at least lone + lone' +
+        abs(rest - rest'), and it must not exceed k (n + n').  In units of 1 /
+        (100 + percent): far = lone + rest - kn, near = lone - rest - kn, and
+        both far + near' and near + far' must not be positive.  ``slack`` is kn -
+        lone plus the most that another component has of it.
+        """
+        own, of_n = 100 + self.percent, 100 - self.percent
+        rows = rows.withColumns({"far": own * (F.col("lone") + F.col("rest")) - of_n * F.col("n"), "near": own * (F.col("lone") - F.col("rest")) - of_n * F.col("n"), "left": of_n * F.col("n") - own * F.col("lone")})
+        parts = rows.groupBy("centre", "comp").agg(F.min("far").alias("far"), F.min("near").alias("near"), F.min(-F.col("left")).alias("gap"))
+        parts, names = materialize(parts, f"{label}-parts"), ("far", "near", "gap")
+        first = materialize(parts.groupBy("centre").agg(*[F.min(F.struct(n, "comp")).alias(n) for n in names]), f"{label}-least")
+        other = [F.min(F.when(F.col("p.comp") != F.col(f"f.{n}.comp"), F.col(f"p.{n}"))).alias(f"{n}_2") for n in names]
+        second = parts.alias("p").join(first.alias("f"), F.col("p.centre") == F.col("f.centre")).groupBy(F.col("p.centre").alias("centre")).agg(*other)
+        least = first.join(second, "centre").select("centre", *[F.col(n).alias(f"{n}_1") for n in names], *[f"{n}_2" for n in names])
+        others = {n: F.when(F.col(f"{n}_1.comp") != F.col("comp"), F.col(f"{n}_1.{n}")).otherwise(F.col(f"{n}_2")) for n in names}
+        kept = rows.join(materialize(least, f"{label}-bounds"), "centre").filter((F.col("far") + others["near"] <= 0) & (F.col("near") + others["far"] <= 0))
+        return materialize(kept.withColumn("slack", F.col("left") - others["gap"]).drop("left", *[f"{n}_{k}" for n in names for k in (1, 2)]), label)
+
+    def many(self, crowded: DataFrame, centres: DataFrame) -> DataFrame:
         """Pairs of crowded buckets that complete their links, without comparing all.
 
-        Every bucket gets a centre C, the shared shingles of its least peculiar
-        document.  With away(x) the symmetric difference of x and C, two sets
-        differ in |away(x) ^ away(y)| shingles, and at the threshold in at most
+        With away(x) the symmetric difference of x and the centre, two sets
+        differ in |away(x) ^ away(y)| shingles, and at the threshold t in at most
         k (|x| + |y|) with k = (1 - t) / (1 + t).  So a linked pair either has
         |away(x)| + |away(y)| within that, and then both are linked to the
         document of least |away| - k size, one pair each; or it shares an away
-        shingle, and is found by a prefix join on those small sets, which also
-        decides it.  Lone shingles count in away but match nothing.
+        shingle, and is found by the prefix join, which also decides it.
         """
-        t = self.percent / 100
-        k = (1 - t) / (1 + t)
-        known = hopeful.select("doc_id", "size", "shared", (F.size("shared") / F.col("size")).alias("common"))
-        centres = crowded.join(known.select("doc_id", "common"), "doc_id").groupBy("key").agg(F.max(F.struct("common", -F.col("doc_id"), F.col("doc_id").alias("id"))).alias("at"))
-        centres = materialize(centres.select("key", F.col("at.id").alias("centre")), "centres")
-        placed = crowded.join(centres, "key").groupBy("centre", "doc_id").agg(F.max(F.col("minor").cast("int")).alias("minor"), F.min("comp").alias("comp"))
-        middle = known.select(F.col("doc_id").alias("centre"), F.col("shared").alias("middle"))
-        away = F.array_union(F.array_except("shared", "middle"), F.array_except("middle", "shared"))
-        rows = placed.join(known, "doc_id").join(middle, "centre").select("centre", "doc_id", "minor", "comp", F.col("size").alias("n"), (F.col("size") - F.size("shared")).alias("lone"), F.sort_array(away).alias("away"))
-        rows = materialize(rows, "away")
-        score = F.size("away") + F.col("lone") - k * F.col("n")
-        inner = materialize(rows.groupBy("centre").agg(F.min(F.struct(score.alias("score"), F.col("doc_id").alias("id"))).alias("least")).select("centre", F.col("least.id").alias("b")), "inner")
-        pairs = rows.join(inner, "centre").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-        length = F.floor(k * (1 + 1 / t) * F.col("n") + 1e-6) + 1 - F.col("lone")
-        rows = rows.filter(length > 0).withColumn("prefix", F.slice("away", F.lit(1), length.cast("int")))
+        placed = crowded.join(centres, "key").groupBy("centre", "doc_id").agg(F.min("comp").alias("comp"))
+        middle = self.sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("middle"))
+        rows = placed.join(self.sets, "doc_id").join(middle, "centre")
+        own, missing = F.array_except("shingles", "middle"), F.array_except("middle", "shingles")
+        rows = materialize(rows.select("centre", "doc_id", "comp", F.size("shingles").cast("long").alias("n"), own.alias("own"), missing.alias("missing")), "away")
+        # first only what the documents have and the centre lacks
+        held = rows.select("centre", "doc_id", F.explode("own").alias("token")).groupBy("centre", "token").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("holders"))
+        lone = materialize(held.filter("holders = 1").groupBy("centre", "doc_id").agg(F.count(F.lit(1)).alias("lone")), "lone-shingles")
+        rows = rows.join(lone, ["centre", "doc_id"], "left").select("centre", "doc_id", "comp", "n", F.coalesce("lone", F.lit(0)).alias("lone"), F.concat("own", "missing").alias("away"))
+        rows = self.reachable(rows.withColumn("rest", F.size("away") - F.col("lone")), "reachable-own").select("centre", "doc_id", "comp", "n", "away")
+        # then the whole differences of those left
+        held = materialize(rows.select("centre", "doc_id", F.explode("away").alias("token")), "away-shingles")
+        holders = held.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("holders"))
+        alone = F.col("holders") == 1
+        order = F.sort_array(F.collect_list(F.when(~alone, F.struct("holders", "token"))))["token"].alias("shared")
+        sorted_rows = held.join(holders, ["centre", "token"]).groupBy("centre", "doc_id").agg(F.count(F.when(alone, 1)).alias("lone"), order)
+        rows = rows.drop("away").join(materialize(sorted_rows, "ordered"), ["centre", "doc_id"], "left")
+        rows = rows.withColumns({"lone": F.coalesce("lone", F.lit(0)), "shared": F.coalesce("shared", F.array().cast("array<long>"))})
+        rows = self.reachable(rows.withColumn("rest", F.size("shared").cast("long")), "reachable")
+        inner = rows.groupBy("centre").agg(F.min(F.struct("far", "doc_id", "comp")).alias("b"))
+        within = rows.join(materialize(inner, "inner"), "centre").filter((F.col("far") + F.col("b.far") <= 0) & (F.col("comp") != F.col("b.comp")))
+        pairs = within.select(F.least("doc_id", "b.doc_id").alias("a"), F.greatest("doc_id", "b.doc_id").alias("b"))
+        counts = rows.groupBy("centre", "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy("centre").agg(F.max(F.struct("rows", "comp")).alias("major"))
+        length = F.floor(F.col("slack") / (100 + self.percent)) + 1
+        rows = rows.join(materialize(counts, "majors-of"), "centre").withColumn("minor", F.col("comp") != F.col("major.comp")).drop("major")
+        rows = rows.filter(length > 0).withColumn("prefix", F.slice("shared", F.lit(1), length.cast("int")))
         rows = materialize(rows.withColumn("token", F.explode("prefix")), "prefixes")
-        x, y = rows.filter("minor = 1").alias("x"), rows.alias("y")
-        apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.minor") == 0) | (F.col("x.doc_id") < F.col("y.doc_id")))
-        differ = F.size("x.away") + F.col("x.lone") + F.size("y.away") + F.col("y.lone") - 2 * F.size(F.array_intersect("x.away", "y.away"))
+        x, y = rows.filter("minor").alias("x"), rows.alias("y")
+        apart = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.minor") | (F.col("x.doc_id") < F.col("y.doc_id")))
+        bound = (F.col("x.far") + F.col("y.near") <= 0) & (F.col("x.near") + F.col("y.far") <= 0)
+        differ = F.col("x.lone") + F.col("x.rest") + F.col("y.lone") + F.col("y.rest") - 2 * F.size(F.array_intersect("x.shared", "y.shared"))
         both = F.col("x.n") + F.col("y.n")
-        near = 100 * (both - differ) >= self.percent * (both + differ)
-        once = F.array_min(F.array_intersect("x.prefix", "y.prefix")) == F.col("x.token")
-        found = x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.token") == F.col("y.token")) & apart & near & once)
+        close = 100 * (both - differ) >= self.percent * (both + differ)
+        once = F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.token")
+        found = x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.token") == F.col("y.token")) & apart & bound & once & close)
         return pairs.unionByName(found.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")))
 
+    def stars(self, crowded: DataFrame, centres: DataFrame) -> DataFrame:
+        """Crowded buckets after their minors met the centre, and further leaders while those find links."""
+        base = ["key", "doc_id", "n", "leader"]
+        own = self.labels.select(F.col("node").alias("centre"), F.col("comp").alias("found"))
+        to = materialize(centres.join(own, "centre", "left").select("key", F.col("centre").alias("id"), F.coalesce("found", "centre").alias("to_comp")), "centres-of")
+        tried = self.check(crowded.join(to, "key").filter("comp <> to_comp").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+        for star in range(STARS):
+            linked = self.edges[-1].count()
+            if linked:
+                self.labels = self.components()
+                crowded = self.remaining(crowded.select(*base))
+            if 10 * linked < tried.count():
+                break  # the members left are mostly strangers
+            pick = F.struct(F.xxhash64("doc_id", F.lit(star)).alias("rank"), F.col("doc_id").alias("id"), F.col("comp").alias("comp"))
+            lone = crowded.filter("minor")
+            leaders = lone.groupBy("key").agg(F.min(pick).alias("to"), F.count(F.lit(1)).alias("left")).filter(F.col("left") > STRANGERS)
+            leaders = materialize(leaders.select("key", "to.id", F.col("to.comp").alias("to_comp")), "leaders")
+            tried = self.check(lone.join(leaders, "key").filter("comp <> to_comp").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+        return crowded
+
     def run(self, members: DataFrame) -> DataFrame:
         """(node, comp) after every pair that meets in a bucket is decided."""
         self.check(members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
         self.labels = self.components()
         rest = self.remaining(members)
+        if rest.isEmpty():
+            return self.labels
         crowded = rest.filter(F.col("pairs") > FEW)
-        hopeful = None
+        pairs = self.few(rest.filter(F.col("pairs") <= FEW))
         if not crowded.isEmpty():
-            hopeful = self.hopeful(crowded.select("doc_id").distinct())
-            crowded = materialize(crowded.join(hopeful, "doc_id", "left_semi"), "crowded")
-        for star in range(STARS if hopeful is not None else 0):
-            pick = F.struct(F.xxhash64("doc_id", F.lit(star)).alias("rank"), F.col("doc_id").alias("id"), F.col("comp").alias("comp"))
-            lone = crowded.filter("minor")
-            leaders = lone.groupBy("key").agg(F.min(pick).alias("to"), F.count(F.lit(1)).alias("left")).filter(F.col("left") > STRANGERS)
-            leaders = materialize(leaders.select("key", "to.id", F.col("to.comp").alias("to_comp")), "leaders")
-            tried = self.check(lone.join(leaders, "key").filter("comp <> to_comp").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
-            if 10 * self.edges[-1].count() < tried.count():
-                break  # the members left are mostly strangers
-            self.labels = self.components()
-            crowded = self.remaining(crowded.select("key", "doc_id", "n", "leader"))
-        if not rest.isEmpty():
-            pairs = self.few(rest.filter(F.col("pairs") <= FEW))
-            if hopeful is not None:
-                pairs = pairs.unionByName(self.many(crowded, hopeful))
-            self.check(pairs)
-            self.labels = self.components()
-        return self.labels
+            crowded = materialize(crowded, "crowded")
+            centres = self.centres(crowded)
+            pairs = pairs.unionByName(self.many(self.stars(crowded, centres), centres))
+        self.check(pairs)
+        return self.components()
 
 
 def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -200,6 +200,32 @@ def test_near_groups_match_brute_force(spark, monkeypatch, few, stars):
     assert [out[k] for k in range(len(texts))] == _components(_sets(texts, 3), 85)
 
 
+def _strangers(seed):
+    """Families whose members mostly stay just below five words at 80 %, all with one common passage and one shingle."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage, texts = [word() for _ in range(40)], []
+    for size, most in ((90, 14), (50, 9), (30, 5)):
+        base = [word() for _ in range(100)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randrange(0, most)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(["one", "shingle", "that", "all", "share", *passage, *w]))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize(("few", "stars", "seed"), [(1024, 8, 1), (0, 8, 2), (0, 0, 3)])
+def test_near_strangers_of_crowded_buckets_match_brute_force(spark, monkeypatch, few, stars, seed):
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "STARS", stars)
+    texts = _strangers(seed)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in neardup.near_groups(docs, 80, 5).collect()}
+    assert [out[k] for k in range(len(texts))] == _components(_sets(texts, 5), 80)
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(6)
     pool = rng.integers(0, 2**63, size=3000).astype(np.uint64)
