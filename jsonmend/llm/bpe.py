@@ -3,36 +3,42 @@
 The merge list is compiled, merge by merge, into a deterministic automaton over
 tokens that accepts exactly the token sequences BPE produces.  It starts as one
 state with a loop per base symbol.  The gadget of merge number ``r``, (u, v) ->
-w, splits the state that u's arcs enter (so that v may no longer follow u from
-now on) and adds an arc w from wherever u's arcs leave to wherever v's arcs
-lead.  All arcs with one label enter one state, so a state is "after token t"
-and the gadgets leave three tables: the forbidden followers of each token with
-the merge that forbade them, and each token's left and right constituents with
-the merge that built it.  An arc exists from "after x" to y unless some
-forbidding gadget acted while the parts it names were still whole.
-
-Compiling stores those tables only: no state is split and no arc laid out, as all
-arcs between some 49,000 tokens are 2.4e9.  An arc is decided by walking both
-tokens' merge trees when it is first asked for, and memoised.
-
-A pre-split word is read symbol by symbol.  For each prefix there is exactly one
-accepting path that spells it, so the reader keeps its last arc; the arc for the
-next symbol is the one that ends there and that the transition table allows
-after the path it extends.  The table (state after x, arc y) is filled from the
-gadgets on first use.  Encoded runs are remembered in a bounded table, so a
-frequent word costs one lookup.  Decoding emits the labels of the arcs.
-
-The vocabulary file is a parameter; the driver reads it once and ships its
-contents, so executors need no copy of the file.
+w, splits the state that u's arcs enter: from now on u enters a copy without the
+arc v (and without the arcs that merges build from that v later on), while w
+enters the state that v's arcs enter.  All arcs with one label enter one state.
+
+Arcs are held as ranges.  Tokens are numbered in preorder of the tree in which w
+hangs below u, later merges first: then what a gadget takes away is one range,
+v and the tokens that begin with it and are made no earlier than ``r``.  After the
+last gadget the missing ranges of every state that is still entered cut the
+tokens into symbol classes, and the automaton becomes a table: one bit for a
+state and a symbol class, one next state for a token.  For 48,894 merges that
+are 11,612 states and some 16,400 classes, 24 MB a worker process.
+
+Words are read a batch at a time, all words of a batch position by position.  For
+each prefix exactly one accepting path spells it, so the reader keeps that
+path's last arc; the arc for the next position is the one that ends there and
+that the table allows after the path it extends.  Arcs that end at a position
+are found by walking a reversed trie of their labels.  Decoding emits the labels
+of the arcs.
+
+Runs between spaces are remembered in a bounded table, so a frequent one costs a
+lookup; of the others each distinct word of a batch is read once.  The vocabulary
+file is a parameter; the driver reads and compiles it once and ships the
+automaton, so executors need no copy of the file.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 import re
 import unicodedata
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +46,35 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonmend.llm.common import read_table, release, small_batches
+from jsonmend.llm.common import read_table, release, small_batches, text_slices
 
-#: Entries after which the transition and word tables are cleared (a memory bound only).
+#: Runs remembered before the older half is forgotten (a memory bound only).
 TABLE_ENTRIES = 60_000
+#: Characters of text in a batch, and cells (words times the longest word's letters) read at once.
+BATCH_CHARS, CELLS = 1_000_000, 500_000
+#: Longer words are read one by one.
+LONG_WORD = 64
+
+
+# What the tokenizers library knows of Unicode 16 and 17 and Python's tables may not.
+#: First and last code point of letters and of numbers new in Unicode 16.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: Lower case of capitals new in Unicode 16 and 17.
+NEW_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
+
+def _kind(c: str) -> str:
+    """A stand-in of the same class for a code point that Python's tables do not know: letter, number or neither."""
+    within = lambda ranges: any(a <= ord(c) <= b for a, b in ranges)
+    return "a" if within(NEW_LETTERS) else "0" if within(NEW_NUMBERS) else "!"
 
 
 def byte_letters() -> list[str]:
@@ -58,94 +89,230 @@ def byte_letters() -> list[str]:
 
 
 class TokenizationAutomaton:
-    """The token automaton of a merge list, and its reader; see the module's text."""
+    """The token automaton of a merge list, and its reader; see the module's text.
+
+    A word's last letter carries ``end``.  Letters that the vocabulary lacks are
+    left out.
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
-        self.vocab = vocab
         self.labels = {i: t for t, i in vocab.items()}
-        self.end = end
-        self.parts: dict[int, tuple[int, int, int]] = {}
-        self.banned: dict[int, int] = {}
-        for rank, (u, v) in enumerate(merges):
-            self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
         cut = len(end)
-        self.finals = {t[: len(t) - cut]: i for t, i in vocab.items() if t.endswith(end)}
-        self.inside = {t: i for t, i in vocab.items() if not cut or not t.endswith(end)}
-        self.final_tails, self.inside_tails = ({t[k:] for t in texts for k in range(len(t))} for texts in (self.finals, self.inside))
-        self.arcs: dict[int, bool] = {}
-
-    def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        """Merge number ``rank``: note that it takes the arc v from the state after u, and builds w; see ``allowed``."""
-        self.banned.setdefault(u << 32 | v, rank)
-        self.parts.setdefault(w, (u, v, rank))
-
-    def allowed(self, x: int, y: int) -> bool:
-        """Whether the finished automaton has an arc y out of the state after x.
-
-        x's right spine and y's left spine are the constituents that touched
-        while merging.  The gadget (a, b) acted between them if a and b were
-        still whole at its turn; within one turn the left pair goes first.
-        """
-        parts, banned = self.parts, self.banned
+        letters = sorted({t for t in vocab if len(t) == 1} | {t[:1] for t in vocab if cut and len(t) == 1 + cut and t.endswith(end)})
+        self.letters = {c: k for k, c in enumerate(letters)}
+        #: Symbol of a letter inside a word and at its end; -1 where the vocabulary has none.
+        self.inside = np.array([2 * k if c in vocab else -1 for c, k in self.letters.items()], dtype=np.int32)
+        self.final = np.array([2 * k + (cut > 0) if c + end in vocab else -1 for c, k in self.letters.items()], dtype=np.int32)
+        triples = [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges]
+        base = {vocab[t]: [s] for c, k in self.letters.items() for t, s in ((c, 2 * k), (c + end, 2 * k + (cut > 0))) if t in vocab}
+        self._compile(base, triples)
+
+    def _compile(self, base: dict[int, list[int]], triples: list[tuple[int, int, int]]) -> None:
+        """Run the gadgets over ``base`` (symbols of the base tokens), then lay out table and trie."""
+        spelled, made, banned, gadgets = dict(base), {}, {}, []
+        for rank, (u, v, w) in enumerate(triples):
+            if u not in spelled or v not in spelled:
+                continue  # built from a token that no text reaches
+            live = self._follows(made, banned, u, v)
+            banned.setdefault((u, v), rank)
+            gadgets.append((rank, u, v, w if live and w not in spelled else None))
+            if live and w not in spelled:
+                made[w] = (u, v, rank)
+                spelled[w] = spelled[u] + spelled[v]
+        place, end, kids = self._preorder(spelled, made)
+        # the gadgets: states are versions, each its parent less one range of arcs
+        entered, above, low, high = dict.fromkeys(spelled, 0), [-1], [0], [0]
+        for rank, u, v, w in gadgets:
+            if w is not None:
+                entered[w] = entered[v]
+            own = kids.get(v, ())
+            k = bisect_left(own, (rank, -1))
+            above.append(entered[u])
+            low.append(place[v])
+            high.append(end[own[k][1]] if k < len(own) else place[v] + 1)
+            entered[u] = len(above) - 1
+        self._lay_out(spelled, place, entered, above, low, high)
+        self._trie(spelled)
+
+    @staticmethod
+    def _follows(made: dict, banned: dict, x: int, y: int) -> bool:
+        """Whether y may follow x after the gadgets so far: none acted while its two tokens touched, both whole."""
         a, whole_a = x, 1 << 62
         while True:
             b, whole_b = y, 1 << 62
             while True:
-                rank = banned.get(a << 32 | b)
+                rank = banned.get((a, b))
                 if rank is not None and rank < whole_a and rank <= whole_b:
                     return False
-                made = parts.get(b)
-                if made is None:
+                if b not in made:
                     break
-                b, whole_b = made[0], made[2]
-            made = parts.get(a)
-            if made is None:
+                b, _, whole_b = made[b]
+            if a not in made:
                 return True
-            a, whole_a = made[1], made[2]
+            _, a, whole_a = made[a]
+
+    @staticmethod
+    def _preorder(spelled: dict, made: dict) -> tuple[dict, dict, dict]:
+        """Place and end of each token in preorder, and its (rank, token) children by rank; later children come first."""
+        kids: dict[int, list] = {}
+        for w, (u, _, rank) in made.items():
+            kids.setdefault(u, []).append((rank, w))
+        place, end, at = {}, {}, 0
+        for root in spelled:
+            stack = [(root, False)] if root not in made else []
+            while stack:
+                t, done = stack.pop()
+                if done:
+                    end[t] = at
+                    continue
+                place[t] = at
+                at += 1
+                stack.append((t, True))
+                stack += [(w, False) for _, w in kids.get(t, ())]
+        return place, end, kids
+
+    def _lay_out(self, spelled: dict, place: dict, entered: dict, above: list, low: list, high: list) -> None:
+        """``table``: a bit for each state and symbol class; ``state`` and ``klass`` of each token."""
+        versions = sorted(set(entered.values()))
+        rows, starts, ends = [], [], []
+        for row, version in enumerate(versions):
+            while version > 0:
+                rows.append(row)
+                starts.append(low[version])
+                ends.append(high[version])
+                version = above[version]
+        rows, starts, ends = (np.array(x, dtype=np.int64) for x in (rows, starts, ends))
+        edges = np.unique(np.concatenate([[0], starts, ends]))
+        self.width = -(-len(edges) // 8)
+        size = max(self.labels, default=-1) + 1
+        self.state, self.klass = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        number = {v: k for k, v in enumerate(versions)}
+        tokens = list(spelled)
+        self.state[tokens] = [number[entered[t]] for t in tokens]
+        self.klass[tokens] = np.searchsorted(edges, [place[t] for t in tokens], side="right") - 1
+        starts, ends = np.searchsorted(edges, starts), np.searchsorted(edges, ends)
+        self.table = np.empty((len(versions), self.width), np.uint8)
+        for a in range(0, len(versions), 512):
+            b = min(a + 512, len(versions))
+            own = slice(*np.searchsorted(rows, [a, b]))
+            steps = np.zeros((b - a, 8 * self.width + 1), np.int16)
+            np.add.at(steps, (rows[own] - a, starts[own]), 1)
+            np.add.at(steps, (rows[own] - a, ends[own]), -1)
+            self.table[a:b] = np.packbits(np.cumsum(steps, axis=1)[:, :-1] == 0, axis=1, bitorder="little")
+        self.table = self.table.reshape(-1)
+
+    def _trie(self, spelled: dict) -> None:
+        """The reversed trie of the tokens' symbols: sorted (node, symbol) keys and the child of each."""
+        symbols = self.span = 2 * len(self.letters) + 2
+        arcs: dict[int, int] = {}
+        token = [-1]
+        for t, spelling in spelled.items():
+            node = 0
+            for c in reversed(spelling):
+                node = arcs.setdefault(node * symbols + c, len(token))
+                if node == len(token):
+                    token.append(-1)
+            token[node] = t
+        self.token, keys = np.array(token, dtype=np.int32), np.array([*arcs, 1 << 62], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.array([*arcs.values(), 0], dtype=np.int32)[order]
+
+    def allowed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the states after the tokens x have arcs y."""
+        k = self.klass[y]
+        return (self.table[self.state[x].astype(np.int64) * self.width + (k >> 3)] >> (k & 7).astype(np.uint8)) & 1 > 0
+
+    def symbols(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and sizes of words given as letter numbers, -1 for unknown letters; these are left out."""
+        last = np.cumsum(sizes)[sizes > 0] - 1
+        found = np.where(codes >= 0, self.inside[codes], -1)
+        found[last] = np.where(codes[last] >= 0, self.final[codes[last]], -1)
+        keep = found >= 0
+        if not keep.all():
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+            found = found[keep]
+        return found, sizes
+
+    def encode(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of words given as letter numbers and sizes."""
+        found, sizes = self.symbols(codes, sizes)
+        begin = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        a, stop = 0, int((sizes > 0).sum())
+        while a < stop:
+            longest = int(sizes[order[a]])
+            if longest > LONG_WORD:
+                ids = self._read_long(found[begin[order[a]] : begin[order[a]] + longest])
+                parts.append((np.full(len(ids), order[a]), np.array(ids, dtype=np.int32)))
+                a += 1
+                continue
+            b = min(stop, a + max(1, CELLS // longest))
+            rows, ids = self._read(found, begin[order[a:b]], sizes[order[a:b]])
+            parts.append((order[a:b][rows], ids))
+            a = b
+        word, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        counts = np.bincount(word, minlength=len(sizes))
+        return ids[np.argsort(word, kind="stable")], counts
+
+    def _read(self, found: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, id) pairs, in order within a word, of words of descending sizes."""
+        most = int(sizes[0])
+        live = np.searchsorted(-sizes, -np.arange(most), side="left")  # words with a letter at each position
+        grid = np.zeros((most, len(sizes)), np.int32)
+        arc, source = np.zeros_like(grid), np.zeros_like(grid)
+        for at in range(most):
+            grid[at, : live[at]] = found[begin[: live[at]] + at]
+            words, node = np.arange(live[at]), np.zeros(live[at], np.int32)
+            for start in range(at, -1, -1):
+                key = node.astype(np.int64) * self.span + grid[start, words]
+                slot = np.searchsorted(self.keys, key)
+                goes = self.keys[slot] == key
+                words, node = words[goes], self.child[slot[goes]]
+                if not len(words):
+                    break
+                token = self.token[node]
+                ends = np.flatnonzero(token >= 0)
+                if start:
+                    ends = ends[self.allowed(arc[start - 1, words[ends]], token[ends])]
+                arc[at, words[ends]], source[at, words[ends]] = token[ends], start
+        words, ids = [], []
+        own, at = np.arange(len(sizes)), sizes - 1
+        while len(own):
+            words.append(own)
+            ids.append(arc[at, own])
+            at = source[at, own] - 1
+            own, at = own[at >= 0], at[at >= 0]
+        words, ids = np.concatenate(words)[::-1], np.concatenate(ids)[::-1]
+        by_word = np.argsort(words, kind="stable")
+        return words[by_word], ids[by_word]
+
+    def _read_long(self, symbols: np.ndarray) -> list[int]:
+        """The ids of one word, read letter by letter over the same table."""
+        keys, child, tokens, state, klass, table = (memoryview(x) for x in (self.keys, self.child, self.token, self.state, self.klass, self.table))
+        letters = symbols.tolist()
+        arc, source = [0] * len(letters), [0] * len(letters)
+        for at in range(len(letters)):
+            node = 0
+            for start in range(at, -1, -1):
+                key = node * self.span + letters[start]
+                slot = bisect_left(keys, key)
+                if keys[slot] != key:
+                    break
+                node = child[slot]
+                token = tokens[node]
+                if token >= 0 and (not start or table[state[arc[start - 1]] * self.width + (klass[token] >> 3)] >> (klass[token] & 7) & 1):
+                    arc[at], source[at] = token, start
+        ids, at = [], len(letters) - 1
+        while at >= 0:
+            ids.append(arc[at])
+            at = source[at] - 1
+        return ids[::-1]
 
     def encode_word(self, letters: str) -> list[int]:
         """Ids of one pre-split word given in vocabulary letters."""
-        n = len(letters)
-        if letters[-1] not in self.finals or any(c not in self.inside for c in letters[:-1]):
-            symbols = [c for c in letters[:-1] if c in self.inside]
-            if letters[-1] not in self.finals:  # no symbol is left that ends the word
-                return self._path("".join(symbols), len(symbols), self.inside, self.inside_tails) if symbols else []
-            letters, n = "".join(symbols) + letters[-1], len(symbols) + 1
-        return self._path(letters, n, self.finals, self.final_tails)
-
-    def _path(self, letters: str, n: int, finals: dict[str, int], final_tails: set[str]) -> list[int]:
-        """The one accepting path; its last arc is taken from ``finals``."""
-        arcs, parts = self.arcs, self.parts
-        table, tails = self.inside, self.inside_tails
-        arc, source = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            if i == n:
-                table, tails = finals, final_tails
-            for j in range(i - 1, -1, -1):
-                text = letters[j:i]
-                if text not in tails:
-                    break
-                token = table.get(text)
-                # a longer token is an arc only if merges build it
-                if token is None or j < i - 1 and token not in parts:
-                    continue
-                if j:
-                    pair = arc[j] << 32 | token
-                    fits = arcs.get(pair)
-                    if fits is None:
-                        if len(arcs) >= 4 * TABLE_ENTRIES:
-                            arcs.clear()
-                        fits = arcs[pair] = arc[j] >= 0 and self.allowed(arc[j], token)
-                    if not fits:
-                        continue
-                arc[i], source[i] = token, j
-                break
-        ids = []
-        while n:
-            ids.append(arc[n])
-            n = source[n]
-        ids.reverse()
-        return ids
+        codes = np.array([self.letters.get(c, -1) for c in letters], dtype=np.int64)
+        return self.encode(codes, np.array([len(codes)]))[0].tolist()
 
     def emit(self, ids: list[int]) -> list[str]:
         """The labels of the arcs."""
@@ -153,84 +320,120 @@ class TokenizationAutomaton:
 
 
 class Codec:
-    """A tokenizer file's text rules around the automaton: specials, NFC, lower case, split, byte letters."""
+    """A tokenizer file's text rules around the automaton: specials, NFC, lower case, split, byte letters.
+
+    Only what those rules cover is supported; any other file raises ValueError.
+    """
 
     def __init__(self, spec: str):
         data = json.loads(spec)
-        model = data["model"]
-        if model["type"] != "BPE" or model.get("byte_fallback") or data.get("post_processor") or data.get("decoder"):
+        model, steps, cuts = data["model"], (data["normalizer"] or {}).get("normalizers", []), (data["pre_tokenizer"] or {}).get("pretokenizers", [])
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("byte_fallback", "dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "ignore_merges"))
+        if not plain or data.get("post_processor") or data.get("decoder"):
             raise ValueError("only plain BPE files without post-processor and decoder are supported")
+        kinds = [s["type"] for s in steps]
+        if kinds != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"] != {"Regex": r"\s+"} or steps[1]["content"] != " ":
+            raise ValueError("only the normalisers NFC, white space to one space and lower case, in this order, are supported")
+        if [c["type"] for c in cuts] != ["Split", "ByteLevel"] or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]:
+            raise ValueError("only a split that keeps its matches, then byte letters, is supported")
+        if any(t[k] for t in data["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that strip, normalise or ask for word limits are not supported")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = TokenizationAutomaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.specials = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.automaton.labels |= {i: t for t, i in self.specials.items()}
-        self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.specials, key=len, reverse=True))) if self.specials else None
-        steps = data["normalizer"]["normalizers"]
-        self.fold = any(s["type"] == "Lowercase" for s in steps)
-        self.compose = any(s["type"] == "NFC" for s in steps)
-        split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.find = self.pattern.findall
-        self.odd_space = re.compile("[\x1c-\x1f]").search  # spaces for str.split, not for the file's pattern
-        self.bytes = {chr(b): letter for b, letter in enumerate(byte_letters())}
-        self.table = str.maketrans(self.bytes)
+        self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.specials, key=len, reverse=True))) if self.specials else None
+        self.opens = "".join({t[0] for t in self.specials})
+        self.pattern = regex.compile(cuts[0]["pattern"]["Regex"])
+        letters = self.automaton.letters
+        self.byte_codes = np.array([letters.get(c, -1) for c in byte_letters()], dtype=np.int64)
         self.seen: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
 
-    def _piece(self, text: str, out: list[int]) -> None:
-        # White space only separates here, so the file's white-space replacement changes nothing.
+    def __getstate__(self):
+        return self.__dict__ | {"special": self.special and self.special.pattern, "pattern": self.pattern.pattern, "seen": {}, "older": {}}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.pattern = regex.compile(self.pattern)
+        self.special = self.special and regex.compile(self.special)
+
+    #: Spaces for str.split, not for the file's pattern.
+    _odd_space = staticmethod(re.compile("[\x1c-\x1f]").search)
+
+    _new_capital = staticmethod(re.compile("[" + "".join(map(chr, NEW_LOWER)) + "]").search)
+
+    def _runs(self, text: str) -> list[str]:
+        """A text's runs between white space.
+
+        White space only separates here, so the file's white-space replacement
+        changes nothing, and a word never spans it.
+        """
         if not text.isascii():
-            if self.compose:
-                text = unicodedata.normalize("NFC", text)
-            if self.fold:
-                text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        elif self.fold:
+            text = unicodedata.normalize("NFC", text)
+            if self._new_capital(text):
+                text = text.translate(NEW_LOWER)
+            text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        else:
             text = text.lower()
-        # A word never spans white space, so the run between spaces is the unit that is remembered.
-        seen = self.seen
-        for run in text.split() if not self.odd_space(text) else [text]:
-            ids = seen.get(run)
+        return text.split() if not self._odd_space(text) else [text]
+
+    def _words(self, runs: list[str]) -> list[list[str]]:
+        """The words of each run."""
+        find = self.pattern.findall
+        letters = set().union(*runs)
+        odd = {c for c in letters if not c.isascii() and unicodedata.category(c) == "Cn"}
+        if not odd:
+            return [[r] if r.isascii() and r.isalpha() else find(r) for r in runs]
+        # the pattern library may class code points otherwise that its Unicode tables do not share
+        shadow = str.maketrans({c: _kind(c) for c in odd})
+        return [[r[m.start() : m.end()] for m in self.pattern.finditer(r.translate(shadow))] for r in runs]
+
+    def _read(self, runs: list[str]) -> list[list[int]]:
+        """Ids of runs; each distinct word among them is read once."""
+        split = self._words(runs)
+        words = dict.fromkeys(chain.from_iterable(split))
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        ids, counts = self.automaton.encode(self.byte_codes[np.frombuffer(b"".join(data), np.uint8)], sizes)
+        ids, ends = ids.tolist(), np.cumsum(counts).tolist()
+        start = 0
+        for w, end in zip(words, ends, strict=True):
+            words[w] = ids[start:end]
+            start = end
+        return [words[own[0]] if len(own) == 1 else list(chain.from_iterable(map(words.__getitem__, own))) for own in split]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts."""
+        pieces: list[list[str | int]] = []
+        for text in texts:
+            if self.special is None or not any(c in text for c in self.opens):
+                pieces.append(self._runs(text))
+                continue
+            start, own = 0, []
+            for m in self.special.finditer(text):
+                own += [*self._runs(text[start : m.start()]), self.specials[m.group()]]
+                start = m.end()
+            pieces.append(own + self._runs(text[start:]))
+        known: dict[str | int, list[int]] = {i: [i] for i in self.specials.values()}
+        missing = []
+        for run in set(chain.from_iterable(pieces)) - known.keys():
+            ids = self.seen.get(run)
             if ids is None:
                 ids = self.older.get(run)
-                if ids is None:
-                    ids = self._words(run)
-                if len(run) <= 64:
-                    if len(seen) >= TABLE_ENTRIES:  # the older half is forgotten
-                        self.older, self.seen = seen, {}
-                        seen = self.seen
-                    seen[run] = ids
-            out += ids
-
-    def _words(self, run: str) -> list[int]:
-        out: list[int] = []
-        words = self.words
-        found = self.find(run)
-        if not run.isascii() and any(unicodedata.category(c) == "Cn" for c in run):
-            # unassigned code points are neither letters nor numbers, which the pattern library may not know
-            shadow = "".join("!" if unicodedata.category(c) == "Cn" else c for c in run)
-            found = [run[m.start() : m.end()] for m in self.pattern.finditer(shadow)]
-        for word in found:
-            ids = words.get(word)
             if ids is None:
-                plain = word.isascii() and word.isprintable()
-                ids = self.automaton.encode_word(word if plain else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table))
-                if len(word) <= 64:
-                    if len(words) >= TABLE_ENTRIES:
-                        words.clear()
-                    words[word] = ids
-            out += ids
-        return out
+                missing.append(run)
+            else:
+                known[run] = ids
+        known.update(zip(missing, self._read(missing), strict=True))
+        if len(self.seen) >= TABLE_ENTRIES:  # the older half is forgotten
+            self.older, self.seen = self.seen, {}
+        room = TABLE_ENTRIES - len(self.seen)
+        self.seen.update((r, known[r]) for r in missing[:room] if len(r) <= LONG_WORD)
+        return [list(chain.from_iterable(map(known.__getitem__, own))) for own in pieces]
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        start = 0
-        for m in self.cut.finditer(text) if self.cut and "<" in text else ():
-            self._piece(text[start : m.start()], out)
-            out.append(self.specials[m.group()])
-            start = m.end()
-        self._piece(text[start:] if start else text, out)
-        return out
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.automaton.emit(ids))
@@ -240,11 +443,15 @@ _CODECS: dict[str, Codec] = {}
 
 
 def codec(spec: str) -> Codec:
-    """One compiled codec a worker process and tokenizer."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
+    """The compiled codec of a tokenizer file's contents."""
+    return _once(hashlib.sha256(spec.encode()).hexdigest(), lambda: Codec(spec))
+
+
+def _once(key: str, make) -> Codec:
+    """One codec a process: that of ``key``, kept until another is asked for."""
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(spec)
+        _CODECS[key] = make()
     return _CODECS[key]
 
 
@@ -270,19 +477,21 @@ def encode_documents(
     """
     small_batches(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = f.read()
+    key, packed = hashlib.sha256(spec.encode()).hexdigest(), pickle.dumps(codec(spec))
+    shipped = docs.sparkSession.sparkContext.broadcast(zlib.compress(packed, 1))
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     decode = any(o.startswith("decoded") for o in outputs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(spec.value)
+        own = _once(key, lambda: pickle.loads(zlib.decompress(shipped.value)))
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                rows = [own.encode(t or "") for t in part.column(1).to_pylist()]
-                texts = [own.decode(ids) if decode else None for ids in rows]
-                columns = [pa.array([OUTPUTS[o][2](i, t) for i, t in zip(rows, texts, strict=True)], OUTPUTS[o][0]) for o in outputs]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", *outputs])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in text_slices(texts, BATCH_CHARS):
+                rows = own.encode_batch(texts[a:b])
+                spelled = [own.decode(ids) if decode else None for ids in rows]
+                columns = [pa.array([OUTPUTS[o][2](i, t) for i, t in zip(rows, spelled, strict=True)], OUTPUTS[o][0]) for o in outputs]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["id", *outputs])
         release()
 
     kind = picked.schema["id"].dataType.simpleString()

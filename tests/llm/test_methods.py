@@ -378,24 +378,67 @@ def library():
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["aaaa", "th", "'s", "'S", "!!", "\x1c", "\xa0", "ΑΣ", "İ", "e\u0301", "<|endoftext|>", "</w>", "9", "²", "🙂", " "]), max_size=12).map("".join)))
+@given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["aaaa", "th", "'s", "'S", "!!", "\x1c", "\xa0", "ΑΣ", "İ", "e\u0301", "<|endoftext|>", "</w>", "9", "²", "🙂", "\U00016d40", "\U00016d71", "\u0558", "\ua7cb", "\U00016ea1", " "]), max_size=12).map("".join)))
 def test_tokens_match_the_library(codec, library, text):
     ids = codec.encode(text)
     assert ids == library.encode(text, add_special_tokens=False).ids
     assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_automaton_accepts_only_bpe_sequences():
-    merges = [("a", "a"), ("a", "b"), ("aa", "b"), ("b", "a")]
-    vocab = {t: k for k, t in enumerate(["a", "b", "aa", "ab", "aab", "ba"])}
-    auto = bpe.TokenizationAutomaton(vocab, merges)
-    for n in range(1, 9):
-        for word in map("".join, itertools.product("ab", repeat=n)):
-            parts = list(word)
-            for u, v in merges:
-                k = 0
-                while k < len(parts) - 1:
-                    if (parts[k], parts[k + 1]) == (u, v):
-                        parts[k : k + 2] = [u + v]
-                    k += 1
-            assert auto.emit(auto.encode_word(word)) == parts
+def _merge_up(word, merges):
+    parts = list(word)
+    for u, v in merges:
+        k = 0
+        while k < len(parts) - 1:
+            if (parts[k], parts[k + 1]) == (u, v):
+                parts[k : k + 2] = [u + v]
+            k += 1
+    return parts
+
+
+def _random_merges(seed):
+    rng, tokens, merges = random.Random(seed), ["a", "b", "c"], []
+    for _ in range(rng.randrange(1, 12)):
+        u, v = rng.choice(tokens), rng.choice(tokens)
+        if len(u + v) <= 6 and u + v not in tokens:
+            tokens.append(u + v)
+            merges.append((u, v))
+    rng.shuffle(merges) if seed % 2 else None  # also lists that use a token before it is made
+    return tokens, merges
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_states_and_arcs_accept_exactly_the_bpe_sequences(seed):
+    """Every walk over the built table of up to three arcs, and the reading of every short word."""
+    tokens, merges = _random_merges(seed)
+    auto = bpe.TokenizationAutomaton({t: k for k, t in enumerate(tokens)}, merges)
+    reached = {p for n in range(1, 7) for w in itertools.product("abc", repeat=n) for p in _merge_up("".join(w), merges)}
+    for n in (2, 3):
+        walks = np.array(list(itertools.product([k for k, t in enumerate(tokens) if t in reached], repeat=n)))
+        fits = np.logical_and.reduce([auto.allowed(walks[:, k], walks[:, k + 1]) for k in range(n - 1)])
+        for walk, fit in zip(walks[:4000], fits[:4000], strict=True):
+            labels = [tokens[k] for k in walk]
+            assert fit == (_merge_up("".join(labels), merges) == labels)
+    for n in range(1, 7):
+        for word in map("".join, itertools.product("abc", repeat=n)):
+            assert auto.emit(auto.encode_word(word)) == _merge_up(word, merges)
+
+
+def test_words_are_read_alike_one_by_one_and_together(codec, library, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("aethinorsé") for _ in range(rng.randrange(1, 90))) for _ in range(40)) for _ in range(5)] + ["a" * 3000, ""]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for long_word, cells in ((64, 500_000), (0, 500_000), (64, 7), (10**9, 500_000)):
+        monkeypatch.setattr(bpe, "LONG_WORD", long_word)
+        monkeypatch.setattr(bpe, "CELLS", cells)
+        codec.seen, codec.older = {}, {}
+        assert codec.encode_batch(texts) == want
+
+
+def test_unsupported_tokenizer_files_are_refused():
+    spec = open(bpe.default_tokenizer(), encoding="utf-8").read()
+    for old, new in (('"unk_token": null', '"unk_token": "x"'), ('"type": "NFC"', '"type": "NFD"'), ('"lstrip": false', '"lstrip": true'), ('"use_regex": false', '"use_regex": true')):
+        changed = spec.replace(old, new, 1) if old in spec else spec.replace(old.replace(": ", ":"), new.replace(": ", ":"), 1)
+        assert changed != spec
+        with pytest.raises(ValueError):
+            bpe.Codec(changed)
