@@ -33,7 +33,6 @@ from __future__ import annotations
 import hashlib
 import json
 import pickle
-import re
 import unicodedata
 import zlib
 from bisect import bisect_left
@@ -48,10 +47,10 @@ from pyspark.sql import functions as F
 
 from jsonmend.llm.common import read_table, release, small_batches, text_slices
 
-#: Runs remembered before the older half is forgotten (a memory bound only).
-TABLE_ENTRIES = 60_000
+#: Runs remembered before the table is emptied (a memory bound only).
+TABLE_ENTRIES = 100_000
 #: Characters of text in a batch, and cells (words times the longest word's letters) read at once.
-BATCH_CHARS, CELLS = 1_000_000, 500_000
+BATCH_CHARS, CELLS = 2_000_000, 500_000
 #: Longer words are read one by one.
 LONG_WORD = 64
 
@@ -204,8 +203,9 @@ class TokenizationAutomaton:
     def _trie(self, spelled: dict) -> None:
         """The reversed trie of the tokens' symbols: sorted (node, symbol) keys and the child of each."""
         symbols = self.span = 2 * len(self.letters) + 2
-        arcs: dict[int, int] = {}
-        token = [-1]
+        ends = sorted({spelling[-1] for spelling in spelled.values()})
+        arcs = {c: k for k, c in enumerate(ends, 1)}  # children of the root, node 0, come first
+        token = [-1] * (1 + len(ends))
         for t, spelling in spelled.items():
             node = 0
             for c in reversed(spelling):
@@ -216,6 +216,10 @@ class TokenizationAutomaton:
         self.token, keys = np.array(token, dtype=np.int32), np.array([*arcs, 1 << 62], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.child = keys[order], np.array([*arcs.values(), 0], dtype=np.int32)[order]
+        close = (1 + len(ends)) * symbols
+        self.close = np.zeros(close, dtype=np.int32)  # the first two steps as a plain table; 0: no arc
+        first = slice(0, np.searchsorted(self.keys, close))
+        self.close[self.keys[first]] = self.child[first]
 
     def allowed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether the states after the tokens x have arcs y."""
@@ -266,9 +270,14 @@ class TokenizationAutomaton:
             words, node = np.arange(live[at]), np.zeros(live[at], np.int32)
             for start in range(at, -1, -1):
                 key = node.astype(np.int64) * self.span + grid[start, words]
-                slot = np.searchsorted(self.keys, key)
-                goes = self.keys[slot] == key
-                words, node = words[goes], self.child[slot[goes]]
+                if start >= at - 1:
+                    node = self.close[key]
+                    goes = node > 0
+                    words, node = words[goes], node[goes]
+                else:
+                    slot = np.searchsorted(self.keys, key)
+                    goes = self.keys[slot] == key
+                    words, node = words[goes], self.child[slot[goes]]
                 if not len(words):
                     break
                 token = self.token[node]
@@ -319,6 +328,13 @@ class TokenizationAutomaton:
         return list(map(self.labels.__getitem__, ids))
 
 
+def _pick(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of ``values`` at ``starts``, one after another, and their sizes."""
+    ends = np.cumsum(sizes)
+    shift = np.repeat(starts - (ends - sizes), sizes)
+    return values[shift + np.arange(len(shift))], sizes
+
+
 class Codec:
     """A tokenizer file's text rules around the automaton: specials, NFC, lower case, split, byte letters.
 
@@ -347,21 +363,24 @@ class Codec:
         self.pattern = regex.compile(cuts[0]["pattern"]["Regex"])
         letters = self.automaton.letters
         self.byte_codes = np.array([letters.get(c, -1) for c in byte_letters()], dtype=np.int64)
-        self.seen: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the table of runs: where each stands in ``ids``."""
+        self.place: dict[str | int, int] = {i: k for k, i in enumerate(self.specials.values())}
+        self.ids, self.ends = np.array([*self.specials.values()], dtype=np.int32), np.arange(len(self.specials) + 1)
 
     def __getstate__(self):
-        return self.__dict__ | {"special": self.special and self.special.pattern, "pattern": self.pattern.pattern, "seen": {}, "older": {}}
+        return self.__dict__ | {"special": self.special and self.special.pattern, "pattern": self.pattern.pattern, "place": None, "ids": None, "ends": None}
 
     def __setstate__(self, state):
         self.__dict__ |= state
         self.pattern = regex.compile(self.pattern)
         self.special = self.special and regex.compile(self.special)
+        self._forget()
 
     #: Spaces for str.split, not for the file's pattern.
-    _odd_space = staticmethod(re.compile("[\x1c-\x1f]").search)
-
-    _new_capital = staticmethod(re.compile("[" + "".join(map(chr, NEW_LOWER)) + "]").search)
+    ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
     def _runs(self, text: str) -> list[str]:
         """A text's runs between white space.
@@ -371,12 +390,12 @@ class Codec:
         """
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-            if self._new_capital(text):
+            if len(text.encode("latin-1", "ignore")) < len(text):
                 text = text.translate(NEW_LOWER)
             text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         else:
             text = text.lower()
-        return text.split() if not self._odd_space(text) else [text]
+        return text.split() if not any(c in text for c in self.ODD_SPACES) else [text]
 
     def _words(self, runs: list[str]) -> list[list[str]]:
         """The words of each run."""
@@ -389,22 +408,22 @@ class Codec:
         shadow = str.maketrans({c: _kind(c) for c in odd})
         return [[r[m.start() : m.end()] for m in self.pattern.finditer(r.translate(shadow))] for r in runs]
 
-    def _read(self, runs: list[str]) -> list[list[int]]:
-        """Ids of runs; each distinct word among them is read once."""
+    def _read(self, runs: list[str]) -> None:
+        """Add runs to the table; each distinct word among them is read once."""
         split = self._words(runs)
-        words = dict.fromkeys(chain.from_iterable(split))
+        flat = list(chain.from_iterable(split))
+        words = {w: k for k, w in enumerate(dict.fromkeys(flat))}
         data = [w.encode("utf-8", "surrogatepass") for w in words]
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        ids, counts = self.automaton.encode(self.byte_codes[np.frombuffer(b"".join(data), np.uint8)], sizes)
-        ids, ends = ids.tolist(), np.cumsum(counts).tolist()
-        start = 0
-        for w, end in zip(words, ends, strict=True):
-            words[w] = ids[start:end]
-            start = end
-        return [words[own[0]] if len(own) == 1 else list(chain.from_iterable(map(words.__getitem__, own))) for own in split]
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts."""
+        ids, counts = self.automaton.encode(self.byte_codes[np.frombuffer(b"".join(data), np.uint8)], np.fromiter(map(len, data), np.int64, len(data)))
+        which = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))
+        ends = np.append(0, np.cumsum(counts))
+        more, sizes = _pick(ids, ends[which], counts[which])
+        through = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(np.fromiter(map(len, split), np.int64, len(split))))]
+        self.place.update(zip(runs, range(len(self.ends) - 1, len(self.ends) - 1 + len(runs)), strict=True))
+        self.ids, self.ends = np.concatenate([self.ids, more]), np.concatenate([self.ends, len(self.ids) + through[1:]])
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts, int32."""
         pieces: list[list[str | int]] = []
         for text in texts:
             if self.special is None or not any(c in text for c in self.opens):
@@ -415,25 +434,17 @@ class Codec:
                 own += [*self._runs(text[start : m.start()]), self.specials[m.group()]]
                 start = m.end()
             pieces.append(own + self._runs(text[start:]))
-        known: dict[str | int, list[int]] = {i: [i] for i in self.specials.values()}
-        missing = []
-        for run in set(chain.from_iterable(pieces)) - known.keys():
-            ids = self.seen.get(run)
-            if ids is None:
-                ids = self.older.get(run)
-            if ids is None:
-                missing.append(run)
-            else:
-                known[run] = ids
-        known.update(zip(missing, self._read(missing), strict=True))
-        if len(self.seen) >= TABLE_ENTRIES:  # the older half is forgotten
-            self.older, self.seen = self.seen, {}
-        room = TABLE_ENTRIES - len(self.seen)
-        self.seen.update((r, known[r]) for r in missing[:room] if len(r) <= LONG_WORD)
-        return [list(chain.from_iterable(map(known.__getitem__, own))) for own in pieces]
+        if len(self.place) > TABLE_ENTRIES:
+            self._forget()
+        runs = list(chain.from_iterable(pieces))
+        self._read(list(set(runs).difference(self.place)))
+        at = np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs))
+        ids, sizes = _pick(self.ids, self.ends[at], self.ends[at + 1] - self.ends[at])
+        through = np.append(0, np.cumsum(sizes))[np.cumsum([len(own) for own in pieces])]
+        return np.split(ids, through[:-1])
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_batch([text])[0]
+        return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.automaton.emit(ids))
@@ -460,7 +471,7 @@ OUTPUTS = {
     "token_ids": (pa.list_(pa.int32()), "array<int>", lambda ids, text: ids),
     "decoded": (pa.string(), "string", lambda ids, text: text),
     "n_tokens": (pa.int64(), "bigint", lambda ids, text: len(ids)),
-    "ids_sha256": (pa.string(), "string", lambda ids, text: hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest()),
+    "ids_sha256": (pa.string(), "string", lambda ids, text: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()),
     "decoded_sha256": (pa.string(), "string", lambda ids, text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()),
 }
 
@@ -489,7 +500,7 @@ def encode_documents(
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in text_slices(texts, BATCH_CHARS):
                 rows = own.encode_batch(texts[a:b])
-                spelled = [own.decode(ids) if decode else None for ids in rows]
+                spelled = [own.decode(ids.tolist()) if decode else None for ids in rows]
                 columns = [pa.array([OUTPUTS[o][2](i, t) for i, t in zip(rows, spelled, strict=True)], OUTPUTS[o][0]) for o in outputs]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["id", *outputs])
         release()
