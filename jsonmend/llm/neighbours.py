@@ -14,10 +14,11 @@ against brute force; nearer neighbours in the full table are only easier.  Where
 until they do; where no K does, every query is scored against all vectors.
 
 Buckets are hashed to groups of about ``GROUP`` vectors; a bucket larger than
-``HOT`` is salted over several.  A group meets the queries that probe its
-buckets, scores them bucket by bucket in double precision and keeps each query's
-best; the tables' candidates are merged by query.  Queries that found too few,
-or all if no K sufficed, are scored against all vectors, group by group.
+``HOT`` is salted over several.  A group's vectors are read once, then the
+queries that probe its buckets stream past, are scored bucket by bucket in double
+precision, and each query's best are kept; the tables' candidates are merged by
+query.  Queries that found too few, or all if no K sufficed, are scored against
+all vectors, group by group.
 
 Equal vectors are one entry with their smallest ids, so a vector that a third of
 the rows share costs one candidate.
@@ -29,7 +30,6 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,8 +42,12 @@ WIDTH = 3.5
 #: Vectors in a group; vectors in a bucket before it is salted.
 GROUP = 32_768
 HOT = 16_384
-#: Queries that meet a group at once.
-QUERIES = 8_192
+#: Query visits after which a group is dealt out again, so that no task meets an unbounded stream.
+VISITS = 1_000_000
+#: Most buckets that are salted; the least size of such a bucket rises beyond that.
+MOST_SALTED = 1_000_000
+#: Scores held at once.
+CELLS = 4_000_000
 #: Sample for calibration, its queries, the recall it must show, and the most probes of a hasher.
 SAMPLE, SAMPLE_QUERIES, RECALL, MOST_PROBES = 4_096, 128, 0.96, 6_000
 #: The most and fewest cells that a table concatenates.
@@ -170,55 +174,105 @@ def _group_of(keys: np.ndarray, table: np.ndarray | int, salt: np.ndarray | int,
     return ((x >> np.uint64(33)) % np.uint64(groups)).astype(np.int64) + np.asarray(table) * groups
 
 
-def _score_group(near: int):
-    """Best ``near`` candidates of every query of a group, among the buckets it probes."""
-
-    def run(key, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"quid": pd.Series(dtype="int64"), "uid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if vectors.empty or queries.empty:
-            return empty
-        vectors = vectors.sort_values("bucket", kind="stable")
-        uid, bucket, x = vectors["uid"].to_numpy(), vectors["bucket"].to_numpy(), _vectors(vectors["vec"])
-        names, begin = np.unique(bucket, return_index=True)
-        end = np.append(begin[1:], len(bucket))
-        out = []
-        for a in range(0, len(queries), 256):
-            part = queries.iloc[a : a + 256]
-            q, quid = _vectors(part["vec"]), part["quid"].to_numpy()
-            score = np.full((len(q), len(x)), -np.inf)
-            visits = []
-            for r, keys in enumerate(part["keys"]):
-                if keys is None:
-                    score[r] = x @ q[r]
+def _best(q: np.ndarray, x: np.ndarray, uid: np.ndarray, score: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, uid, exact score) of each query's ``near`` best by (score, smaller uid); -inf in ``score`` is no candidate.
+
+    Every candidate within rounding of the cut takes part in the exact order, so
+    ties at the cut go to the smaller uid however many there are.
+    """
+    keep = min(near, score.shape[1])
+    cut = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
+    slip = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((q**2).sum(axis=1) * (x**2).sum(axis=1).max())
+    row, col = np.nonzero((score >= (cut - slip)[:, None]) & (score > -np.inf))
+    exact = np.empty(len(row))
+    for a in range(0, len(row), 65_536):
+        part = slice(a, a + 65_536)
+        exact[part] = (q[row[part]] * x[col[part]]).sum(axis=1)
+    rank = np.lexsort((uid[col], -exact, row))
+    row, col, exact = row[rank], col[rank], exact[rank]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < near
+    return row[top], uid[col[top]], exact[top]
+
+
+class _Group:
+    """The vectors of one group, by bucket."""
+
+    def __init__(self, uid: list, bucket: list, vec: list):
+        bucket = np.concatenate(bucket)
+        order = np.argsort(bucket, kind="stable")
+        self.uid, self.x = np.concatenate(uid)[order], np.concatenate(vec)[order]
+        self.names, self.begin = np.unique(bucket[order], return_index=True)
+        self.end = np.append(self.begin[1:], len(bucket))
+
+    def score(self, quid: np.ndarray, q: np.ndarray, keys: list, near: int) -> pa.RecordBatch:
+        """Best ``near`` candidates of each query among the buckets it seeks (null: all)."""
+        score = np.full((len(q), len(self.x)), -np.inf)
+        visits = [np.zeros((2, 0), np.int64)]
+        for r, sought in enumerate(keys):
+            if sought is None:
+                score[r] = self.x @ q[r]
+                continue
+            place = np.minimum(np.searchsorted(self.names, sought), len(self.names) - 1)
+            place = np.unique(place[self.names[place] == sought])
+            visits.append(np.stack([place, np.full(len(place), r)]))
+        place, who = np.concatenate(visits, axis=1)
+        order = np.argsort(place, kind="stable")
+        place, who = place[order], who[order]
+        cuts = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
+        for c, d in zip(cuts[:-1], cuts[1:], strict=True):
+            rows, span = who[c:d], slice(self.begin[place[c]], self.end[place[c]])
+            score[rows, span] = q[rows] @ self.x[span].T
+        row, uid, exact = _best(q, self.x, self.uid, score, near)
+        return pa.RecordBatch.from_arrays([pa.array(quid[row]), pa.array(uid), pa.array(exact)], ["quid", "uid", "score"])
+
+
+def _score_groups(near: int):
+    """Rows (gid, split, kind, id, bucket, keys, vec) sorted by group, its vectors (kind 0) before its queries (kind 1)."""
+
+    def run(batches):
+        at, held, group = None, ([], [], []), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = np.flatnonzero(np.append(True, (name[1:] != name[:-1]).any(axis=1)))
+            for a, b in zip(cuts, np.append(cuts[1:], len(name)), strict=True):
+                if at != tuple(name[a, :2]):
+                    at, held, group = tuple(name[a, :2]), ([], [], []), None
+                part = batch.slice(a, b - a)
+                ids, vecs = part.column(3).to_numpy(), _vectors(part.column(6).to_pylist())
+                if name[a, 2] == 0:
+                    for column, value in zip(held, (ids, part.column(4).to_numpy(), vecs), strict=True):
+                        column.append(value)
                     continue
-                place = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-                visits.append(np.stack([place[names[place] == keys], np.full((names[place] == keys).sum(), r)]))
-            if visits:
-                place, who = np.concatenate(visits, axis=1)
-                order = np.argsort(place, kind="stable")
-                place, who = place[order], who[order]
-                cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else []
-                for c, d in zip(cuts, np.append(cuts[1:], len(place)), strict=True) if len(place) else ():
-                    b = place[c]
-                    rows = np.unique(who[c:d])
-                    score[rows, begin[b] : end[b]] = q[rows] @ x[begin[b] : end[b]].T
-            keep = min(near + 3, len(x))  # a few more: the product's rounding may swap near ties
-            best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-            row = np.repeat(np.arange(len(q)), keep)
-            col = best.reshape(-1)
-            seen = score[row, col] > -np.inf
-            row, col = row[seen], col[seen]
-            exact = (q[row] * x[col]).sum(axis=1)
-            rank = np.lexsort((uid[col], -exact, row))
-            row, col, exact = row[rank], col[rank], exact[rank]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            top = place < near
-            out.append(pd.DataFrame({"quid": quid[row[top]], "uid": uid[col[top]], "score": exact[top]}))
-        return pd.concat(out) if out else empty
+                if group is None and held[0]:
+                    group = _Group(*held)
+                    held = ([], [], [])
+                if group is not None:
+                    step = max(1, CELLS // len(group.x))
+                    keys = part.column(5)
+                    for c in range(0, len(ids), step):
+                        sought = [None if k.values is None else k.values.to_numpy() for k in keys.slice(c, step)]
+                        yield group.score(ids[c : c + step], vecs[c : c + step], sought, near)
 
     return run
 
 
+class _Salts:
+    """How many groups each salted bucket is dealt over."""
+
+    def __init__(self, table: np.ndarray, bucket: np.ndarray, pieces: np.ndarray):
+        order = np.lexsort((bucket, table))
+        self.tables = [tuple(x[order][table[order] == t] for x in (bucket, pieces)) for t in range(TABLES)]
+
+    def of(self, table: int, keys: np.ndarray) -> np.ndarray:
+        bucket, pieces = self.tables[table]
+        if not len(bucket):
+            return np.ones(len(keys), dtype=np.int64)
+        place = np.minimum(np.searchsorted(bucket, keys), len(bucket) - 1)
+        return np.where(bucket[place] == keys, pieces[place], 1)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, near: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``near`` nearest other rows found.
 
@@ -253,7 +307,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, near: int = 20, id_col: str
     sample = np.array([r["vec"] for r in sample] or [own.select("vec").first()["vec"]], dtype=np.float64)
     hasher = spark.sparkContext.broadcast(calibrated(sample, near, facts["bound"], facts["n"]))
     groups = -(-facts["n"] // GROUP)
-    hot_from = max(HOT, facts["n"] * TABLES // 100_000)
+    hot_from = max(HOT, facts["n"] * TABLES // MOST_SALTED)
 
     def pack(batches):
         for batch in batches:
@@ -271,9 +325,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, near: int = 20, id_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(batch.num_rows, t), pa.int32()), pa.array(keys[:, t])], ["uid", "vec", "tab", "bucket"])
 
     rows = packed.mapInArrow(index, "uid long, vec binary, tab int, bucket long")
-    crowded = rows.groupBy("tab", "bucket").count().filter(F.col("count") > hot_from).collect()  # at most 100,000 by the bound
-    salts = {(r["tab"], r["bucket"]): -(-r["count"] // hot_from) for r in crowded}
-    shipped = spark.sparkContext.broadcast(salts)
+    crowded = rows.groupBy("tab", "bucket").count().filter(F.col("count") > hot_from).toPandas()  # at most MOST_SALTED by the bound
+    shipped = spark.sparkContext.broadcast(_Salts(crowded["tab"].to_numpy(), crowded["bucket"].to_numpy(), -(-crowded["count"].to_numpy() // hot_from)))
 
     def deal(batches):
         """Index rows to their groups."""
@@ -283,13 +336,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, near: int = 20, id_col: str
             uid = batch.column(0).to_numpy()
             keys = hasher.value.buckets(_vectors(batch.column(1).to_pylist()))
             for t in range(TABLES):
-                salt = np.zeros(len(uid), dtype=np.int64)
-                for (table, key), n in shipped.value.items():
-                    if table == t:
-                        hit = keys[:, t] == key
-                        salt[hit] = uid[hit] * 2654435761 % n
-                gid = _group_of(np.ascontiguousarray(keys[:, t]), t, salt, groups)
-                yield pa.RecordBatch.from_arrays([pa.array(gid), batch.column(0), pa.array(keys[:, t]), batch.column(1)], ["gid", "uid", "bucket", "vec"])
+                own = np.ascontiguousarray(keys[:, t])
+                gid = _group_of(own, t, uid * 2654435761 % shipped.value.of(t, own), groups)
+                yield pa.RecordBatch.from_arrays([pa.array(gid), batch.column(0), pa.array(own), batch.column(1)], ["gid", "uid", "bucket", "vec"])
 
     def ask(batches):
         """Queries to the groups that hold their probes, with the keys they seek there."""
@@ -301,30 +350,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, near: int = 20, id_col: str
                 out = ([], [], [], [])
                 for r, quid in enumerate(part.column(0).to_pylist()):
                     for t in range(TABLES):
-                        keys = probes[r, t]
-                        salt = np.zeros(len(keys), dtype=np.int64)
-                        if shipped.value:
-                            more = [(k, s) for k in keys.tolist() for s in range(1, shipped.value.get((t, k), 1))]
-                            if more:
-                                keys = np.concatenate([keys, np.array([k for k, _ in more], dtype=np.int64)])
-                                salt = np.concatenate([salt, np.array([s for _, s in more], dtype=np.int64)])
-                        gid = _group_of(np.ascontiguousarray(keys), t, salt, groups)
-                        for g in np.unique(gid):
-                            for column, value in zip(out, (int(g), quid, keys[gid == g], vecs[r]), strict=True):
+                        pieces = shipped.value.of(t, probes[r, t])
+                        keys = np.repeat(probes[r, t], pieces)
+                        salt = np.arange(len(keys)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                        if not len(keys):
+                            continue
+                        gid = _group_of(keys, t, salt, groups)
+                        order = np.argsort(gid, kind="stable")
+                        names, first = np.unique(gid[order], return_index=True)
+                        for g, sought in zip(names.tolist(), np.split(keys[order], first[1:]), strict=True):
+                            for column, value in zip(out, (g, quid, sought, vecs[r]), strict=True):
                                 column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["gid", "quid", "keys", "vec"])
 
     asked_uids = query_ids.select("uid").distinct()
     n_queries = max(1, asked_uids.count())
     visits = min(len(hasher.value.template), groups) or groups  # without probes all queries meet all groups
-    splits = -(-n_queries * visits // (groups * QUERIES))
-    split = lambda c: F.pmod(F.xxhash64(c), F.lit(splits))
-    indexed = packed.mapInArrow(deal, "gid long, uid long, bucket long, vec binary").withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))))
+    splits = -(-n_queries * visits // (groups * VISITS))
+    indexed = packed.mapInArrow(deal, "gid long, uid long, bucket long, vec binary")
     wanted = packed.join(asked_uids, "uid", "left_semi")
-    asking = wanted.repartition(max(8, min(2000, n_queries // 256))).mapInArrow(ask, "gid long, quid long, keys array<long>, vec binary").withColumn("split", split("quid"))
+    asking = wanted.repartition(max(8, min(2000, n_queries // 256))).mapInArrow(ask, "gid long, quid long, keys array<long>, vec binary")
 
     def scored(index_rows: DataFrame, query_rows: DataFrame) -> DataFrame:
-        return index_rows.groupBy("gid", "split").cogroup(query_rows.groupBy("gid", "split")).applyInPandas(_score_group(near + 1), "quid long, uid long, score double")
+        share = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))) if splits > 1 else F.lit(0).cast("long")
+        index_rows = index_rows.select("gid", share.alias("split"), F.lit(0).cast("long").alias("kind"), F.col("uid").alias("id"), "bucket", F.lit(None).cast("array<long>").alias("keys"), "vec")
+        share = F.pmod(F.xxhash64("quid"), F.lit(splits))
+        query_rows = query_rows.select("gid", share.alias("split"), F.lit(1).cast("long").alias("kind"), F.col("quid").alias("id"), F.lit(0).cast("long").alias("bucket"), "keys", "vec")
+        both = index_rows.unionByName(query_rows).repartition("gid", "split").sortWithinPartitions("gid", "split", "kind")
+        return both.mapInArrow(_score_groups(near + 1), "quid long, uid long, score double")
 
     found = materialize(scored(indexed, asking), "candidates")
     weight = F.least(F.col("rows"), F.lit(near + 1))
@@ -332,10 +385,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, near: int = 20, id_col: str
     short = asked_uids.join(reach.filter(F.col("n") >= min(near + 1, total)).select(F.col("quid").alias("uid")), "uid", "left_anti")
     short = materialize(short, "short-queries")
     if not short.isEmpty():
-        every = spark.range(groups).select(F.col("id").alias("gid"))
-        whole = packed.join(short, "uid", "left_semi").crossJoin(F.broadcast(every)).select("gid", F.col("uid").alias("quid"), F.lit(None).cast("array<long>").alias("keys"), "vec")
-        first = indexed.filter(F.col("gid") < groups)
-        more = scored(first, whole.withColumn("split", split("quid")))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+        whole = packed.join(short, "uid", "left_semi").select(every.alias("gid"), F.col("uid").alias("quid"), F.lit(None).cast("array<long>").alias("keys"), "vec")
+        more = scored(indexed.filter(F.col("gid") < groups), whole)
         found = found.unionByName(materialize(more, "exact-candidates"))
     best = Window.partitionBy("quid").orderBy(F.desc("score"), "uid")
     top = found.groupBy("quid", "uid").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= near + 1)

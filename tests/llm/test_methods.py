@@ -318,6 +318,33 @@ def test_neighbours_are_exact_where_no_probing_suffices(spark):
         assert mine == sorted((k for k in range(600) if k != q), key=lambda k: (-(x[k] * x[q]).sum(), k))[:20]
 
 
+@pytest.mark.parametrize(("group", "hot", "visits"), [(32_768, 16_384, 1_000_000), (64, 16, 40)])
+def test_neighbours_of_equal_score_are_those_of_smallest_id(spark, monkeypatch, group, hot, visits):
+    """200 distinct vectors with one inner product to every query, in one group and over many salted and split ones."""
+    for name, value in (("GROUP", group), ("HOT", hot), ("VISITS", visits)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(3)
+    x = np.zeros((240, 12))
+    x[:200, 0], x[:200, 1:] = 1.0, rng.permutation(np.eye(11).repeat(20, axis=0))[:200] * np.repeat([0.25, 0.5], 100)[:, None]
+    x[:200, 2] += np.arange(200) / 1024  # distinct
+    x[200:, 0] = np.arange(1, 41) / 8  # queries along the first axis
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = neighbours.nearest(table, table.filter("vec_id >= 200"), near=60).collect()
+    for q in range(200, 240):
+        mine = [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)]
+        assert mine == sorted((k for k in range(240) if k != q), key=lambda k: (-(x[k] * x[q]).sum(), k))[:60]
+
+
+def test_neighbours_recall_of_isotropic_vectors(spark):
+    x = np.random.default_rng(8).normal(size=(3000, 32))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = neighbours.nearest(table, table.filter("vec_id % 50 = 0")).collect()
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    hits = [len({r.vec_id for r in out if r.query_id == q} & set(np.argsort(-score[q])[:20].tolist())) / 20 for q in range(0, 3000, 50)]
+    assert np.mean(hits) >= 0.9
+
+
 def test_probe_template_orders_by_cost():
     template = neighbours.probe_template(4, 50)
     assert not template[0].any() and len({tuple(sorted(r)) for r in template.tolist()}) == len(template)
