@@ -1,25 +1,27 @@
 """Operator 10, exact deduplication by deterministic block naming.
 
 A normalised text (every ASCII white-space character deleted) is cut into
-fixed-size blocks.  Level 0 sorts the distinct blocks and gives each an integer
-name; level k names the distinct pairs of adjacent level k-1 names; after
-log2(blocks) levels every document has one name.  Two documents with the same
-number of blocks share it exactly if their texts are equal: names stand for
+fixed-size blocks.  Level 0 sorts the distinct blocks and gives each its rank as
+an integer name; level k names the distinct pairs of adjacent level k-1 names;
+after log2(blocks) levels every document has one name.  Two documents with the
+same number of blocks share it exactly if their texts are equal: names stand for
 contents, never for hashes, so identities cannot collide.
 
 How it is dealt out: the distinct blocks are found with partial aggregation, so
 a block shared by a third of the corpus crosses the network once a task.  The
-blocks' texts are shuffled once.  Names travel back to the documents by the
-block's 64-bit hash and length; where two different blocks share both (checked,
-never assumed), that block's rows are named and joined by content instead.
-Each level's names are written to the shared folder before use, which fixes
-them against recomputation; joins have fresh exchanges on both sides, so that
-hot names can be split.
+blocks' texts are shuffled once.  Blocks sort by 64-bit hash and length, which
+also carry the names back to the documents; where two different blocks share
+both (checked, never assumed), those are sorted, named and joined by content
+instead.  Ranks are gapless and the same however the rows are partitioned: a
+global sort numbers rows within its partitions, and the partitions' counts shift
+them.  Each level's names are written to the shared folder before use, which
+fixes them against recomputation; joins have fresh exchanges on both sides, so
+that hot names can be split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jsonmend.llm.common import SPACE_CLASS, discard, fresh, materialize, read_table, text_or_empty
@@ -32,25 +34,30 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_CLASS + "+", "")
 
 
-def _named(distinct: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Distinct rows, sorted within their partitions and numbered: equal rows nowhere, names unique."""
-    return distinct.sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+def _named(distinct: DataFrame, order: list[str], label: str) -> DataFrame:
+    """Distinct rows with their rank in ``order`` as ``name``, from 0 without gaps."""
+    numbered = materialize(distinct.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("at", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows")).withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    offsets = F.broadcast(offsets.select("part", "first"))  # one row a partition
+    place = F.col("at") - F.shiftleft(part, 33) + F.col("first")
+    return numbered.join(offsets, part == F.col("part")).withColumn("name", place.cast("long")).drop("at", "part", "first")
 
 
 def _block_names(rows: DataFrame) -> DataFrame:
     """``rows`` (…, block) with ``block`` replaced by its integer ``name``."""
     rows = rows.withColumns({"h": F.xxhash64("block"), "len": F.octet_length("block")})
-    names = _named(rows.select("block").distinct(), ["block"], "name")
-    names = materialize(names.select(F.xxhash64("block").alias("h"), F.octet_length("block").alias("len"), "name"), "block-names")
-    clashes = names.groupBy("h", "len").count().filter("count > 1").select("h", "len")
+    blocks = rows.select("block").distinct().select(F.xxhash64("block").alias("h"), F.octet_length("block").alias("len"))
+    blocks = materialize(blocks.groupBy("h", "len").agg(F.count(F.lit(1)).alias("blocks")), "blocks")
+    names = _named(blocks.filter("blocks = 1").select("h", "len"), ["h", "len"], "block-names")
+    clashes = blocks.filter("blocks > 1").select("h", "len")
+    named = rows.drop("block").join(names, ["h", "len"]).drop("h", "len")
     if clashes.isEmpty():
-        return rows.drop("block").join(names, ["h", "len"]).drop("h", "len")
-    clashes = materialize(clashes, "block-clashes")
+        return named
     own = rows.join(clashes, ["h", "len"], "left_semi")
-    by_content = materialize(_named(own.select("block").distinct(), ["block"], "name").withColumn("name", -1 - F.col("name")), "clash-names")
-    named = own.join(by_content, "block").drop("block", "h", "len")
-    rest = rows.drop("block").join(clashes, ["h", "len"], "left_anti").join(names, ["h", "len"]).drop("h", "len")
-    return rest.unionByName(named)
+    by_content = _named(own.select("block").distinct(), ["block"], "clash-names").withColumn("name", -1 - F.col("name"))
+    return named.unionByName(own.join(by_content, "block").drop("block", "h", "len"))
 
 
 def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -87,7 +94,7 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             )
         )
         pairs = materialize(pairs, f"pairs-{step}")
-        names = materialize(_named(pairs.select("left", "right").distinct(), ["left", "right"], "name"), f"pair-names-{step}")
+        names = _named(pairs.select("left", "right").distinct(), ["left", "right"], f"pair-names-{step}")
         level = materialize(pairs.join(names, ["left", "right"]).drop("left", "right"), f"names-{step}")
         discard(pairs)
         finished = finished.unionByName(level.filter((F.col("blocks") <= width)).drop("pos"))

@@ -261,6 +261,17 @@ def test_exact_groups_match_brute_force(spark, monkeypatch):
             assert (r.keep_id, r.group_size, r.kept) == (keep, len(group), keep == r.doc_id)
 
 
+def test_exact_names_are_ranks_whatever_the_partitions(spark):
+    texts = [c * n for c in "abcab" for n in (1, 3, 4, 9, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named = [{r.doc_id: (r.blocks, r.name) for r in exact.block_identities(docs.repartition(n), block=3).collect()} for n in (1, 7)]
+    assert named[0] == named[1]
+    by_blocks = {}
+    for blocks, name in named[0].values():
+        by_blocks.setdefault(blocks, set()).add(name)
+    assert by_blocks[10] == {0, 1, 2}  # the last level has only these
+
+
 def test_exact_names_survive_hash_clashes(spark, monkeypatch):
     rows = spark.createDataFrame([(k, b) for k, b in enumerate([b"a", b"b", b"a", b"c"])], "k long, block binary")
     monkeypatch.setattr(exact.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
