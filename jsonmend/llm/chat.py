@@ -57,6 +57,7 @@ class Mapping:
 
 
 _SHAREGPT = (("human", "user"), ("gpt", "assistant"))
+_USUAL = ("user", "assistant", "system")
 MAPPINGS = (
     Mapping("prompt", ("prompt", "completion"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("prompt_response", ("prompt", "response"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
@@ -97,9 +98,18 @@ def _string(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def canonical_turns(record, table: dict[str, Mapping]) -> tuple[str | None, list[tuple[str, str]]]:
-    """(layout, [(role, text)]) of a parsed record; (None, []) for an unknown layout."""
-    found = table.get(fingerprint(field_paths(record))) if isinstance(record, dict) else None
+def declared_paths(mappings=MAPPINGS) -> frozenset[str]:
+    return frozenset(p for m in mappings for p in (*m.required, *m.optional))
+
+
+def canonical_turns(record, table: dict[str, Mapping], declared: frozenset[str] = declared_paths()) -> tuple[str | None, list[tuple[str, str]]]:
+    """(layout, [(role, text)]) of a parsed record; (None, []) for an unknown layout.
+
+    Where no mapping has the whole fingerprint, that of the paths which some
+    mapping declares decides, so fields beyond them change nothing.
+    """
+    paths = field_paths(record) if isinstance(record, dict) else set()
+    found = table.get(fingerprint(paths)) or table.get(fingerprint(paths & declared)) if paths else None
     if found is None:
         return None, []
     roles = dict(found.roles)
@@ -166,20 +176,21 @@ _FORMATTED = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 def format_records(records: DataFrame, id_col: str, record_col: str, mappings=MAPPINGS) -> DataFrame:
     """One row per input row: the id, ``layout``, ``formatted`` and ``loss_mask``.
 
-    ``record_col`` holds a JSON object.  A null, invalid or unknown record gives
-    layout null, an empty string and an empty mask.  Null texts and roles count
+    ``record_col`` holds a JSON object.  A null, invalid or unknown record, or one
+    nested too deeply to be read, gives layout null, an empty string and an empty
+    mask; undeclared fields beside a known layout are left out.  Null texts and roles count
     as empty; null ids and repeated rows pass through.
     """
     picked = records.select(F.col(id_col).alias("id"), F.col(record_col).cast("string").alias("record"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = mapping_table(mappings)
+        table, declared = mapping_table(mappings), declared_paths(mappings)
         for batch in batches:
             layouts, texts, masks = [], [], []
             for raw in batch.column(1).to_pylist():
                 try:
-                    layout, turns = canonical_turns(json.loads(raw) if raw else None, table)
-                except ValueError:
+                    layout, turns = canonical_turns(json.loads(raw) if raw else None, table, declared)
+                except (ValueError, RecursionError):
                     layout, turns = None, []
                 text, mask = format_turns(turns)
                 layouts.append(layout)
@@ -216,7 +227,11 @@ def read_back(formatted: DataFrame, id_col: str) -> DataFrame:
 
 
 def pack_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id, record): the turn rows of each conversation as one ``messages`` record.
+    """(id, record): the turn rows of each conversation as one record.
+
+    Records come in three layouts: one question with its answer as ``prompt`` and
+    ``completion``; other conversations between the usual roles as
+    ``conversations`` if the number of turns is even; all else as ``messages``.
 
     Turns are ordered by turn (null first), then role, then text; null roles and
     texts count as empty; repeated rows stay.  Rows with a null id form one
@@ -225,8 +240,18 @@ def pack_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str =
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("content"))
     packed = rows.select(F.col(id_col).alias("id"), turn.alias("t")).groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    roles = F.col("turns")["role"]
+    pair = F.struct(F.col("turns")[0]["content"].alias("prompt"), F.col("turns")[1]["content"].alias("completion"))
+    names = F.create_map(*[F.lit(x) for name, role in (*_SHAREGPT, ("system", "system")) for x in (role, name)])
+    spoken = F.transform("turns", lambda t: F.struct(names[t["role"]].alias("from"), t["content"].alias("value")))
     messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return packed.select(F.col("id").alias(id_col), F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    usual = F.forall(roles, lambda r: r.isin(*_USUAL)) & (F.size("turns") % 2 == 0)
+    record = (
+        F.when(roles == F.array(F.lit("user"), F.lit("assistant")), F.to_json(F.struct(pair["prompt"].alias("prompt"), pair["completion"].alias("completion"))))
+        .when(usual, F.to_json(F.struct(spoken.alias("conversations"))))
+        .otherwise(F.to_json(F.struct(messages.alias("messages"))))
+    )
+    return packed.select(F.col("id").alias(id_col), record.alias("record"))
 
 
 #: The added conversation: its texts hold the template's own marks.

@@ -20,10 +20,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A local folder is set only where the cluster names none, as in tests.
+    A local folder is set only where none is named and everything runs in one
+    process, as in tests; on a cluster that names none this raises RuntimeError.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.gettempdir()}/checkpoints/jsonmend"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

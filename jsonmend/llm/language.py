@@ -122,14 +122,20 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Fit on rows where ``learnable`` holds and language and text are not null."""
+def train(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """Fit on rows where ``learnable`` holds and language and text are not null.
+
+    About ``PER_LANGUAGE`` rows a language are drawn by a hash of id and text, so
+    the same rows whatever their files and partitions.  A row with a null id is
+    drawn by its text; no such row gives a model without languages.  One array
+    of ``FEATURES`` counts a language reaches the driver.
+    """
     rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model.from_counts([], np.zeros((0, FEATURES)))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, PER_LANGUAGE / n)))])
-    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), draw.alias("draw"))
     picked = picked.filter(F.col("draw") < F.element_at(share, F.col("lang"))).drop("draw").repartition(16)
 

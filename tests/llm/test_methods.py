@@ -365,6 +365,47 @@ def test_probe_template_orders_by_cost():
 # ---- mixing, chat, tokens
 
 
+def test_chat_survives_deep_and_extra_fields_and_meets_several_layouts(spark):
+    deep = '{"a":' * 100_000 + "1" + "}" * 100_000
+    extra = '{"messages":[{"role":"user","content":"q","name":"n"},{"role":"assistant","content":"a","tool":{"x":[1]}}],"meta":{"k":1}}'
+    rows = [(1, deep), (2, extra), (3, '{"messages":[{"role":"user","content":' + "[" * 5000 + "]" * 5000 + "}]}"), (4, '{"nothing":"known"}')]
+    out = {r.id: (r.layout, r.formatted) for r in chat.format_records(spark.createDataFrame(rows, "id long, record string"), "id", "record").collect()}
+    assert out[1] == out[4] == (None, "") and out[2][0] == "messages"
+    assert chat.read_turns(out[2][1]) == [("user", "q"), ("assistant", "a")]
+    turns = {
+        1: [("user", "a"), ("assistant", "b")],
+        2: [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "")],
+        3: [("human", "a"), ("gpt", "b")],
+        4: [("system", "s"), ("user", "a"), ("assistant", "b")],
+        5: [("system", "s"), ("user", "")],
+    }
+    table = spark.createDataFrame([(c, n, r, t) for c, own in turns.items() for n, (r, t) in enumerate(own)], "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.format_records(chat.pack_conversations(table), "conv_id", "record").collect()}
+    assert {c: chat.read_turns(r.formatted) for c, r in found.items()} == turns
+    assert [found[c].layout for c in sorted(found)] == ["prompt", "conversations", "messages", "messages", "conversations"]
+
+
+def test_language_sample_and_decoding(spark):
+    """The fit does not depend on partitions; decoding is the brute-force minimum of the weighted losses."""
+    rng = random.Random(12)
+    words = {"x": "alpha beta gamma delta", "y": "uno dos tres cuatro", "z": "eins zwei drei vier", "w": "ichi ni san shi"}
+    rows = [(k, " ".join(rng.choices(words[lang].split(), k=12)), lang) for k, lang in enumerate("xyzw" * 50)]
+    docs = spark.createDataFrame([*rows, (None, "alpha", "x"), (7, None, "x"), (8, "", "y")], "doc_id long, text string, lang string")
+    one, two = (language.train(docs.repartition(n), F.lit(True)) for n in (1, 6))
+    assert one.languages == two.languages == sorted(words) and np.array_equal(one.weights, two.weights)
+    assert language.train(docs.limit(0), F.lit(True)).languages == []
+    texts = [r[1] for r in rows[:40]] + ["alpha uno eins ichi"]
+    slots, lengths = language.gram_slots(texts)
+    at = 0
+    for text, length, (lang, score, _) in zip(texts, lengths, one.predict(texts), strict=True):
+        own = slots[at : at + length]
+        at += length
+        bits = np.mean([one.weights[a].astype(float) + one.weights[b] for a, b in own], axis=0) / 2
+        loss = [sum(w * np.log1p(np.exp(-3 * c * (b - m) / s)) for w, c, b, m, s in zip(one.importance, word, bits, one.centre, one.scale, strict=True)) for word in one.code]
+        assert lang == one.languages[int(np.argmin(loss))]
+        assert np.isclose(score, 1 / sum(np.exp(-4 * (x - min(loss))) for x in loss))
+
+
 def test_mixing_targets(spark):
     rng = random.Random(10)
     rows = [(k, " ".join(["w"] * rng.randrange(1, 60)), s) for k, s in enumerate(rng.choices(["a", "b", None, "tiny"], [40, 30, 20, 2], k=900))]
