@@ -22,6 +22,7 @@ numbered by expansion, so that each gets its own hash.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,6 +112,8 @@ def balance(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame
         if state.filter("NOT close").isEmpty():
             break
         state = state.drop("close")
+    else:
+        warnings.warn(f"{state.count()} sources have not met their targets within {_CLOSE} after {_STEPS} steps; the last multipliers stay", stacklevel=2)
     return state.select("src", "source_size", "docs", "target", "scale", "lam")
 
 

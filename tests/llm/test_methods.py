@@ -406,6 +406,23 @@ def test_language_sample_and_decoding(spark):
         assert np.isclose(score, 1 / sum(np.exp(-4 * (x - min(loss))) for x in loss))
 
 
+def test_mixing_multipliers_are_the_optimum_of_the_dual(spark):
+    """Against bisection on each source's words in plain Python."""
+    rng = random.Random(21)
+    rows = [(k, " ".join(["w"] * rng.randrange(1, 90)), rng.choice("abbcccc")) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = docs.select("doc_id", mixing.source_key(F.col("source")).alias("src"), mixing.word_count(F.col("text")).alias("size")).withColumn("rows", F.lit(1))
+    dual = mixing.balance(sizes, mixing.source_targets(sizes)).collect()
+    assert len(dual) == 3
+    for d in dual:
+        own = np.array([len(t.split()) for _, t, s in rows if d.src.endswith(s)])
+        words = lambda lam: (own * np.minimum(mixing.MOST, np.exp(np.minimum(lam * own / d.scale, 5)))).sum()  # noqa: E731, B023
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if words((low + high) / 2) < d.target else (low, (low + high) / 2)
+        assert np.isclose(words(d.lam), d.target, rtol=1e-6) and np.isclose(d.lam, low, atol=1e-4)
+
+
 def test_mixing_targets(spark):
     rng = random.Random(10)
     rows = [(k, " ".join(["w"] * rng.randrange(1, 60)), s) for k, s in enumerate(rng.choices(["a", "b", None, "tiny"], [40, 30, 20, 2], k=900))]
