@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +32,30 @@ def least_confident(df: DataFrame, by: str, k: int, order: str, result: str = "r
     return df.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def write_audit(df: DataFrame, path: str, result: str = "repair", keys: tuple[str, ...] = ()) -> None:
-    """Append the payload-free audit to a Parquet table."""
+def notifications(df: DataFrame, result: str = "repair", target: str | Column | None = "repair_target", keys: tuple[str, ...] = ()) -> DataFrame:
+    """One payload-free row a repair that was tried: ``keys``, target, outcome, shape errors, steps, tolerant recovery, confidence.
+
+    ``target`` is what was repaired: a column such as ``function:<name>`` or
+    ``response-text``; None leaves it null.
+    """
     r = F.col(result)
-    audit = df.select(*keys, r["succeeded"].alias("succeeded"), r["shape_status"].alias("shape_status"), r["succeeded_by"].alias("succeeded_by"), r["confidence"].alias("confidence"), r["text_repairs"].alias("text_repairs"), r["node_repairs"].alias("node_repairs"), r["error"].alias("error"))
-    audit.write.mode("append").parquet(path)
+    named = F.lit(None).cast("string") if target is None else F.col(target) if isinstance(target, str) else target
+    fields = ("succeeded", "was_repaired", "shape_status", "shape_errors", "text_repairs", "node_repairs", "tolerant", "succeeded_by", "confidence", "error")
+    return df.filter(r.isNotNull()).select(*keys, named.alias("target"), *[r[n].alias(n) for n in fields])
+
+
+def write_audit(df: DataFrame, path: str, result: str = "repair", keys: tuple[str, ...] = (), target: str | Column | None = None) -> None:
+    """Append the notifications to a Parquet table."""
+    notifications(df, result, target, keys).write.mode("append").parquet(path)
+
+
+def audit_sink(path: str, result: str = "repair", keys: tuple[str, ...] = (), target: str | Column | None = "repair_target") -> Callable[[DataFrame, int], None]:
+    """The same for ``writeStream.foreachBatch``; a batch that is run again replaces its own rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        notifications(batch, result, target, keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
 
 
 def observed(df: DataFrame, name="repair_metrics", result: str = "repair") -> DataFrame:

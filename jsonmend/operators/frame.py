@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,14 @@ from jsonmend.functions.result import RESULT_TYPE
 from jsonmend.kernel.engine import Options
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def untouched(text: Column, options: Options) -> Column:
     """The result of a text that the strict gate accepts and no schema judges."""
     idle = lambda steps: F.array(*[F.struct(F.lit(n).alias("name"), F.lit("Skipped").alias("status"), F.lit(None).cast("string").alias("note")) for n, _ in steps])
@@ -38,8 +47,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        few = df.rdd.getNumPartitions() < cores
+    except PySparkException:  # a session without partitions to look at
+        return df
+    return df.repartition(cores) if few else df
 
 
 def repair_df(df: DataFrame, column: str, schema: str | Column | None = None, options: Options | None = None, out: str = "repair", native_gate: bool = True) -> DataFrame:
@@ -53,7 +66,7 @@ def repair_df(df: DataFrame, column: str, schema: str | Column | None = None, op
     text = F.col(column).cast("string")
     if schema is not None or not native_gate:
         return df.withColumn(out, json_repair(text, schema, options))
-    gated = df.withColumn("__gate", passes_gate(text))
-    run = gated.withColumn("__kernel", json_repair(F.when(~F.col("__gate"), text), None, options))
-    result = F.when(text.isNotNull(), F.when(F.col("__gate"), untouched(text, options)).otherwise(F.col("__kernel")))
-    return run.withColumn(out, result).drop("__gate", "__kernel")
+    gate, kernel = fresh(df, "__gate"), fresh(df, "__kernel")
+    run = df.withColumn(gate, passes_gate(text)).withColumn(kernel, json_repair(F.when(~F.col(gate), text), None, options))
+    result = F.when(text.isNotNull(), F.when(F.col(gate), untouched(text, options)).otherwise(F.col(kernel)))
+    return run.withColumn(out, result).drop(gate, kernel)

@@ -4,66 +4,111 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from jsonmend.kernel.engine import Options, engine_for
+from jsonmend.functions.result import RESULT_TYPE, as_row
+from jsonmend.kernel.engine import Options, Result, engine_for
 from jsonmend.kernel.schema import compile_schema
 from jsonmend.kernel.stream import StablePrefix
+from jsonmend.kernel.values import utf16_length
 
-EVENT_TYPE = "stream_id string, kind string, offset long, text string, succeeded boolean, confidence double"
-STATE_TYPE = "text string, next long, pending string, scanner string, last long"
+EVENT_TYPE = f"stream_id string, kind string, offset long, text string, missing_seq long, repair {RESULT_TYPE}"
+STATE_TYPE = "text string, next long, pending string, units long, scanner string, last long, done boolean"
+COLUMNS = ["stream_id", "kind", "offset", "text", "missing_seq", "repair"]
 
 
-def feed(state: tuple | None, chunks: list[tuple[int, str | None, bool]], most: int) -> tuple[tuple, list[tuple[int, str]], bool]:
-    """Add chunks, in ``seq`` order with gaps held back: (state, deltas, whether the stream is complete)."""
-    text, following, pending, scanner, last = state or ("", 0, "{}", "{}", -1)
+class State(NamedTuple):
+    """A stream so far: contiguous text, next chunk, chunks held behind a gap, UTF-16 units of both, scanner, last chunk (-1: unknown), whether it is complete."""
+
+    text: str = ""
+    next: int = 0
+    pending: str = "{}"
+    units: int = 0
+    scanner: str = "{}"
+    last: int = -1
+    done: bool = False
+
+    @property
+    def missing(self) -> int | None:
+        """The first chunk that never came, if any is known to be missing."""
+        return self.next if json.loads(self.pending) or self.next <= self.last else None
+
+    def whole(self) -> str:
+        """All text there is, chunks behind gaps included, in order."""
+        held = json.loads(self.pending)
+        return self.text + "".join(held[k] for k in sorted(held, key=int))
+
+
+def feed(state: State | None, chunks: list[tuple[int, str | None, bool]], most: int) -> tuple[State, list[tuple[int, str]], bool]:
+    """Add chunks, in ``seq`` order with gaps held back: (state, deltas, whether the stream is complete).
+
+    Held chunks count towards ``most`` UTF-16 units too; a stream that exceeds
+    it is complete.  A repeated chunk is dropped, as is any after completion.
+    """
+    text, following, pending, units, scanner, last, done = state or State()
+    if done:
+        return State(text, following, pending, units, scanner, last, True), [], False
     waiting = {int(k): v for k, v in json.loads(pending).items()}
     for seq, chunk, is_last in chunks:
-        if seq >= following:  # a chunk that was already taken is dropped
+        if seq >= following and seq not in waiting:
             waiting[seq] = chunk or ""
+            units += utf16_length(waiting[seq])
         if is_last:
             last = seq
-    scan, deltas = StablePrefix(**json.loads(scanner)), []
+    parts = [text]
     while following in waiting:
-        text += waiting.pop(following)
+        parts.append(waiting.pop(following))
         following += 1
-        if len(text) > most:
-            break
-        found = scan.advance(text)
-        if found:
-            deltas.append(found)
-    done = len(text) > most or last >= 0 and following > last
-    return (text, following, json.dumps(waiting), json.dumps(scan.state()), last), deltas, done
+    text = "".join(parts)
+    scan = StablePrefix(**json.loads(scanner))
+    found = scan.advance(text) if units <= most else None
+    done = units > most or last >= 0 and following > last
+    return State(text, following, json.dumps(waiting), units, json.dumps(scan.state()), last, done), [found] if found else [], done
+
+
+def complete(state: State, options: Options, schema: str | None) -> Result:
+    """The audited result of everything that arrived."""
+    if state.units > options.limits.input:
+        return Result(False, error=("limit", f"Input length {state.units} exceeds the configured maximum of {options.limits.input} characters."))
+    return engine_for(options).repair(state.whole(), compile_schema(schema))
 
 
 def repair_stream(chunks: DataFrame, schema: str | None = None, options: Options | None = None, timeout_ms: int = 600_000) -> DataFrame:
     """Events of a streaming DataFrame (stream_id string, seq long, chunk string, is_last boolean).
 
     ``delta`` rows carry contiguous slices from offset 0 as they become stable;
-    one ``completed`` row carries the repaired text of the whole stream.  A
-    stream also completes when nothing arrives for ``timeout_ms``.
+    one ``completed`` row carries the repaired text and the result struct
+    ``repair``.  A stream also completes when nothing arrives for ``timeout_ms``:
+    then chunks held behind a gap join the text in order, and ``missing_seq``
+    names the first chunk that never came.  A stream over the input limit
+    completes with that error.  A completed stream is remembered for
+    ``timeout_ms``, so that late and repeated chunks do not open it again.
     """
     options = options or Options()
 
     def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = []
-        timed_out = state.hasTimedOut
-        kept = tuple(state.get) if state.exists else None
-        deltas, done = [], timed_out
-        if not timed_out:
+        kept = State(*state.get) if state.exists else None
+        rows, done = [], False
+        if state.hasTimedOut:
+            if kept is None or kept.done:
+                state.remove()
+            else:
+                done = True
+        else:
             arrived = [(int(s), c, bool(e)) for p in parts for s, c, e in zip(p["seq"], p["chunk"], p["is_last"], strict=True)]
             kept, deltas, done = feed(kept, sorted(arrived, key=lambda x: x[0]), options.limits.input)
-        rows += [(key[0], "delta", at, piece, None, None) for at, piece in deltas]
+            rows += [(key[0], "delta", at, piece, None, None) for at, piece in deltas]
         if done:
-            result = engine_for(options).repair(kept[0] if kept else "", compile_schema(schema))
-            rows.append((key[0], "completed", None, result.repaired_text, result.succeeded, result.confidence))
-            state.remove()
-        else:
-            state.update(kept)
+            result = complete(kept, options, schema)
+            rows.append((key[0], "completed", None, result.repaired_text, kept.missing, as_row(result)))
+            kept = State(next=kept.next, last=kept.last, done=True)
+        if done or not state.hasTimedOut:
+            state.update(tuple(kept))
             state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(rows, columns=["stream_id", "kind", "offset", "text", "succeeded", "confidence"]).astype({"offset": "Int64", "succeeded": "boolean"})
+        yield pd.DataFrame(rows, columns=COLUMNS).astype({"offset": "Int64", "missing_seq": "Int64", "repair": object})
 
     return chunks.groupBy("stream_id").applyInPandasWithState(run, EVENT_TYPE, STATE_TYPE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,6 +1,7 @@
 """Column functions, table operators, SQL surface and streaming."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,12 +10,12 @@ from jsonmend.functions.repair import json_repair, json_shape_errors, passes_gat
 from jsonmend.functions.result import confidence
 from jsonmend.functions.sql import register
 from jsonmend.kernel import texts
-from jsonmend.kernel.engine import Options, repair_text
+from jsonmend.kernel.engine import Limits, Options, Result, repair_text
 from jsonmend.kernel.values import is_document
 from jsonmend.operators import audit, chat
 from jsonmend.operators.frame import repair_df
 from jsonmend.sources.damage import DAMAGE, read_payloads
-from jsonmend.streaming.deltas import feed, repair_stream
+from jsonmend.streaming.deltas import complete, feed, repair_stream
 
 TEXTS = [
     '{"a":1}', ' [1, 2.50, "x"] ', '{"a":1,}', "{a:1}", '```json\n{"a":1}\n```', "<a>{}</a>", 'Here: {"a":1}', "{name: None}", "not json", "null", "", "  ", None,
@@ -84,16 +85,17 @@ def test_audit(payloads, spark, tmp_path):
 
 
 def test_chat_tables(spark):
-    schema = '{"type":"object","properties":{"files":{"type":"array","items":{"type":"string"}}}}'
-    tools = spark.createDataFrame([("apply", schema), ("apply", '{"type":"string"}')], "name string, schema_json string")
-    calls = spark.createDataFrame([(1, "apply", '{"files":"[\\"a\\",\\"b\\"]"}', False), (2, "apply", "{files:[", True), (3, "none", "{a:1", False), (4, "none", "True", False)], "id long, name string, arguments string, informational boolean")
-    out = {r.id: r.arguments for r in chat.repair_tool_calls(calls, tools).collect()}
-    assert out == {1: '{"files":["a","b"]}', 2: "{files:[", 3: '{"a":1}', 4: "True"}
-    messages = spark.createDataFrame([(1, "Hello! How can I help?"), (2, '{"a":1'), (3, "```json\n[1,]\n```")], "id long, text string")
+    schema = '{"type":"object","properties":{"rows":{"type":"array","items":{"type":"string"}}}}'
+    tools = spark.createDataFrame([("apply", '{"type":"string"}'), ("apply", schema), ("apply", '{"type":"object"}')], "name string, schema_json string")
+    calls = spark.createDataFrame([(1, "apply", '{"rows":"[\\"a\\",\\"b\\"]"}', False), (2, "apply", "{rows:[", True), (3, "none", "{a:1", False), (4, "none", "True", False), (5, "none", " \n", False)], "id long, name string, arguments string, informational boolean")
+    out = {r.id: r for r in chat.repair_tool_calls(calls, tools).collect()}
+    assert {k: r.arguments for k, r in out.items()} == {1: '{"rows":["a","b"]}', 2: "{rows:[", 3: '{"a":1}', 4: "True", 5: " \n"}
+    assert out[1].repair_target == "function:apply" and out[2].repair is None and out[5].repair is None
+    messages = spark.createDataFrame([(1, "Nothing to report today."), (2, '{"a":1'), (3, "```json\n[1,]\n```")], "id long, text string")
     plain = {r.id: r.text for r in chat.repair_response_texts(messages).collect()}
-    assert plain == {1: "Hello! How can I help?", 2: '{"a":1', 3: "```json\n[1,]\n```"}
+    assert plain == {1: "Nothing to report today.", 2: '{"a":1', 3: "```json\n[1,]\n```"}
     opted = {r.id: r.text for r in chat.repair_response_texts(messages, chat=chat.ChatOptions(texts_without_schema=True)).collect()}
-    assert opted == {1: "Hello! How can I help?", 2: '{"a":1}', 3: "[1]"}
+    assert opted == {1: "Nothing to report today.", 2: '{"a":1}', 3: "[1]"}
 
 
 def test_chat_options(spark):
@@ -102,12 +104,41 @@ def test_chat_options(spark):
     off = chat.repair_tool_calls(calls, tools, chat=chat.ChatOptions(repair_calls=False))
     assert {r.id: r.arguments for r in off.collect()} == {1: "{a:1", 2: "{b:2"} and "repair" in off.columns
     bare = chat.repair_tool_calls(calls, tools, chat=chat.ChatOptions(keep_audit=False))
-    assert {r.id: r.arguments for r in bare.collect()} == {1: '{"a":1}', 2: '{"b":2}'} and bare.columns == ["name", "id", "arguments"]
+    assert {r.id: r.arguments for r in bare.collect()} == {1: '{"a":1}', 2: '{"b":2}'} and bare.columns == calls.columns
     messages = spark.createDataFrame([(1, '{"a":1')], "id long, text string")
     texts = chat.repair_response_texts(messages, chat=chat.ChatOptions(texts_without_schema=True, keep_audit=False))
     assert texts.columns == messages.columns and texts.first().text == '{"a":1}'
 
 
+def test_raw_arguments_tool_order_and_transforms(spark, monkeypatch, tmp_path):
+    tools = spark.createDataFrame([("f", '{"type":"object","properties":{"n":{"type":"string"}}}', 2), ("f", '{"type":"object","properties":{"n":{"type":"integer"}}}', 1)], "name string, schema_json string, place long")
+    calls = spark.createDataFrame([(1, "f", None, "{n: 5"), (2, "f", '{"n":5}', None), (3, "f", None, '{"n":"5"}'), (4, None, None, None)], "id long, name string, arguments string, sent string")
+    run = lambda **more: {r.id: r.arguments for r in calls.transform(chat.with_repaired_calls(tools, raw="sent", **more)).collect()}
+    assert run() == {1: '{"n":"5"}', 2: '{"n":"5"}', 3: '{"n":"5"}', 4: None}  # the first listed schema wants a string
+    assert run(order="place")[1] == '{"n":5}'
+    monkeypatch.setattr(chat, "SMALL_TOOLS", 0)
+    assert run() == {1: '{"n":"5"}', 2: '{"n":"5"}', 3: '{"n":"5"}', 4: None}
+    out = chat.repair_tool_calls(calls, tools, raw="sent")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "BroadcastHashJoin" not in plan
+    told = audit.notifications(out, keys=("id",)).orderBy("id").collect()
+    assert [r.target for r in told] == ["function:f"] * 3 and not {"arguments", "sent", "repaired_text"} & set(told[0].asDict())
+    sink = audit.audit_sink(str(tmp_path / "told"))
+    sink(out, 0), sink(out, 0)
+    assert spark.read.parquet(str(tmp_path / "told")).count() == 3
+    texts = spark.createDataFrame([("[1,",)], "text string").transform(chat.with_repaired_texts(chat=chat.ChatOptions(texts_without_schema=True)))
+    assert texts.first().text == "[1]" and texts.first().repair_target == "response-text"
+
+
+def test_columns_of_internal_names_survive(spark):
+    df = spark.createDataFrame([("{a:1}", 1, 2, "x")], "payload string, __gate int, __kernel int, tool_name string")
+    r = repair_df(df, "payload").first()
+    assert (r["__gate"], r["__kernel"], r.repair.repaired_text) == (1, 2, '{"a":1}')
+    calls = df.select(F.lit("f").alias("name"), F.col("payload").alias("arguments"), "tool_name")
+    tools = spark.createDataFrame([("f", '{"type":"object"}')], "name string, schema_json string")
+    assert chat.repair_tool_calls(calls, tools).first().tool_name == "x"
+
+
 def test_readers_and_damage(spark, tmp_path):
     (tmp_path / "x.txt").write_text('{"a":1}\n{b:2}\n')
     assert read_payloads(spark, str(tmp_path / "x.txt")).count() == 2
@@ -131,7 +162,17 @@ def test_feed_orders_chunks(size):
         for at, piece in deltas:
             assert at == len(out)
             out += piece
-    assert done and state[0] == text and text.startswith(out)
+    assert out and state.text == text and text.startswith(out) and state.done and not done
+    assert feed(state, [(0, "x", True)], 1 << 20)[1:] == ([], False)  # a late chunk changes nothing
+
+
+def test_feed_counts_held_chunks_and_utf16_units():
+    state, deltas, done = feed(None, [(1, "🙂🙂", False)], 3)
+    assert done and not deltas and state.units == 4
+    result = complete(state, Options(limits=Limits(input=3)), None)
+    assert result.error[0] == "limit" and not result.succeeded
+    state, _, done = feed(None, [(0, '{"a":', False), (2, "2}", False)], 100)
+    assert not done and state.missing == 1 and state.whole() == '{"a":2}' and complete(state, Options(), None).repaired_text == '{"a":2}'
 
 
 def test_streaming_query(spark, tmp_path):
@@ -145,11 +186,49 @@ def test_streaming_query(spark, tmp_path):
     rows = spark.table("deltas").collect()
     done = [r for r in rows if r.kind == "completed"]
     assert {r.stream_id for r in done} == {"x", "y"} and all(json.loads(r.text)["note"] == "a long enough tail" for r in done)
+    want = repair_text(text)
+    for r in done:
+        assert r.missing_seq is None and (r.repair.repaired_text, r.repair.confidence, r.repair.succeeded_by) == (want.repaired_text, want.confidence, want.succeeded_by)
+        assert [(x.name, x.status, x.note) for x in r.repair.text_repairs] == [tuple(x) for x in want.text_repairs]
     for s in ("x", "y"):
         pieces = sorted((r.offset, r.text) for r in rows if r.kind == "delta" and r.stream_id == s)
         assert pieces and text.startswith("".join(p for _, p in pieces))
 
 
+def test_streaming_timeout_flushes_held_chunks(spark, tmp_path):
+    """A stream with a gap completes after the timeout with all its chunks; a late chunk does not open it again."""
+    source, write = tmp_path / "in", lambda n, rows: (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(r) for r in rows))
+    source.mkdir()
+    write(0, [{"stream_id": "g", "seq": 0, "chunk": '{"a": [1, 2', "is_last": False}, {"stream_id": "g", "seq": 2, "chunk": ", 3]}", "is_last": True}])
+    chunks = spark.readStream.schema("stream_id string, seq long, chunk string, is_last boolean").json(str(source))
+    query = repair_stream(chunks, timeout_ms=1_000).writeStream.format("memory").queryName("gaps").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+    completed = lambda: [r for r in spark.table("gaps").collect() if r.kind == "completed"]
+    for n in range(1, 60):
+        write(n, [{"stream_id": f"tick-{n}", "seq": 0, "chunk": "{", "is_last": False}])
+        time.sleep(0.5)
+        if any(r.stream_id == "g" for r in completed()):
+            break
+    query.stop()
+    (done,) = [r for r in completed() if r.stream_id == "g"]
+    assert done.text == '{"a": [1, 2, 3]}' and done.missing_seq == 1 and done.repair.succeeded
+
+
+def test_result_accessors_and_consistency():
+    good = repair_text('{"a":1,}')
+    assert good.check() is good and good.text_or_raise() == '{"a":1}' and good.object_or_raise() == good.value
+    with pytest.raises(ValueError):
+        good.array_or_raise()
+    assert repair_text("[1").array_or_raise() == repair_text("[1").value
+    bad = repair_text("not json", configure=lambda o: o.without_salvage())
+    assert bad.check() is bad
+    for broken in (Result(True, repaired_text="[1]", value=[]), Result(True), Result(False, was_repaired=True), Result(False, shape_status="Mismatched")):
+        with pytest.raises(ValueError):
+            broken.check()
+    for read in (bad.value_or_raise, bad.text_or_raise, bad.object_or_raise):
+        with pytest.raises(ValueError):
+            read()
+
+
 def test_codecs_and_struct_schemas(spark):
     from pyspark.sql import Observation
     from pyspark.sql import types as T
