@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from jsonmend.kernel.values import SPACES, Spelled, utf16_length
+from jsonmend.kernel.values import SPACES, utf16_length
 
 HARD_DEPTH, HARD_CORRECTIONS = 512, 100_000
 #: Characters that a look-ahead for a property name reads.
@@ -38,7 +38,6 @@ _TOKEN = re.compile(r"(?P<mark>[{}\[\]:,\"'])|(?P<num>[-\d][-+.eE\d]*)|(?P<word>
 _NAME = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
 _PLAIN = re.compile(r'[^"\\]+')
 _ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
-_FLOAT = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+(?:[eE][-+]?[0-9]+)?|[eE][-+]?[0-9]+)")
 _HEX = re.compile(r"[0-9a-fA-F]{4}")
 _VALUE_STARTS = frozenset(["{", "[", '"', "'", "num", "true", "false", "null"])
 
@@ -322,13 +321,12 @@ class TolerantParser:
             value = int(spelled) if re.fullmatch(r"[-+]?\d+", spelled) else None
             if value is not None and -(1 << 63) <= value < 1 << 63:
                 return value
-            value = Spelled(spelled)
+            value = float(spelled)
         except ValueError:
             raise Broken from None
         if value in (float("inf"), float("-inf")):
             raise Broken
-        # a double keeps a valid spelling; an integer beyond 64 bits degrades to one
-        return value if _FLOAT.fullmatch(spelled) else float(value)
+        return value
 
     def raw_string(self, token: Token) -> bool:
         """Whether a token in a string's place starts a string."""

@@ -88,7 +88,22 @@ def is_document(text: str) -> bool:
 def number_text(value) -> str:
     if isinstance(value, Spelled):
         return value.text
-    return str(value) if isinstance(value, (int, Decimal)) else repr(value)
+    return str(value) if isinstance(value, (int, Decimal)) else double_text(value)
+
+
+def double_text(value: float) -> str:
+    """The shortest digits of a double: plain from 1E-04 up to below 1E+15, else with an exponent of at least two digits."""
+    sign, digits, exponent = Decimal(repr(value)).normalize().as_tuple()
+    places, spelled = len(digits) + exponent - 1, "".join(map(str, digits))
+    if not value:
+        return "-0" if sign else "0"
+    if not -5 < places < 15:
+        tail = f".{spelled[1:]}" if len(spelled) > 1 else ""
+        return f"{'-' * sign}{spelled[0]}{tail}E{'-' if places < 0 else '+'}{abs(places):02}"
+    if exponent >= 0:
+        return "-" * sign + spelled + "0" * exponent
+    spelled = spelled.rjust(1 - exponent, "0")
+    return f"{'-' * sign}{spelled[:exponent]}.{spelled[exponent:]}"
 
 
 def dumps(value) -> str:
