@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,12 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jsonmend.functions.repair import json_repair, json_shape_errors, passes_gate, plain_delimiters, unwrap_simple_fence
-from jsonmend.functions.result import confidence
+from jsonmend.functions.codec import arguments_from_json, arguments_to_json, schema_text
+from jsonmend.functions.result import confidence, is_confident
+from jsonmend.functions.sql import register
 from jsonmend.operators import audit, chat
 from jsonmend.operators.frame import repair_df, spread
-from jsonmend.kernel.engine import Options
+from jsonmend.kernel.engine import Limits, Options, repair_text
+from jsonmend.plans import cases
 from jsonmend.sources.damage import DAMAGE
-from jsonmend.streaming.deltas import feed
+from jsonmend.streaming.deltas import feed, repair_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,10 +96,12 @@ def native_delimiters(spark, sf_dir):
     return _orders(spark, sf_dir).select(*_fields(plain_delimiters(DAMAGE["unicode"](F.col("j")))))
 
 
-@_register("concat_refused", "SELECT 'Failed' AS status, count(*)::BIGINT AS rows FROM orders")
+@_register("concat_refused", "SELECT o_orderkey::BIGINT AS k, 'Failed' AS status, '{\"z\":1}' AS text, 0.665::DOUBLE AS confidence FROM orders")
 def concat_refused(spark, sf_dir):
-    out = audit.reports(_repaired(_orders(spark, sf_dir), F.concat("j", "j")))
-    return out.filter("name = 'concatenated-json'").groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+    """Two values are refused as a concatenation; the extraction from prose then takes the last."""
+    out = _repaired(_orders(spark, sf_dir), F.concat("j", F.lit('{"z":1}')))
+    status = F.filter("repair.text_repairs", lambda r: r["name"] == "concatenated-json")[0]["status"]
+    return out.select(F.col("o_orderkey").cast("long").alias("k"), status.alias("status"), F.col("repair.repaired_text").alias("text"), F.round("repair.confidence", 6).alias("confidence"))
 
 
 @_register("python_literals", "SELECT o_orderkey::BIGINT AS k, 'true' AS ok, true AS x_is_null, round(0.57, 4)::DOUBLE AS confidence FROM orders")
@@ -234,14 +241,194 @@ def rollback_chain(spark, sf_dir):
     return out.groupBy(F.col("repair.repaired_text").alias("text"), F.col("repair.shape_status").alias("shape_status")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+# ---- cases: damage and schemas that the orders alone do not meet
+
+
+def _case_query(name: str, table: list, options: Options | None = None) -> None:
+    """Every order meets one case of the table, by its key."""
+    which = f"o_orderkey % {len(table)}"
+    quoted = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    case = lambda at, kind: f"CASE {which} " + " ".join(f"WHEN {n} THEN {quoted(c[at]) if kind == 'VARCHAR' else c[at]}" for n, c in enumerate(table)) + f" END::{kind}"
+
+    @_register(name, f"SELECT o_orderkey::BIGINT AS k, replace({case(1, 'VARCHAR')}, '<K>', o_orderkey::VARCHAR) AS text, {case(2, 'INTEGER')} AS corrections, {case(3, 'DOUBLE')} AS confidence FROM orders")
+    def query(spark, sf_dir):
+        text, schema = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for n, (damaged, _, _, _, wanted) in enumerate(table):
+            here = F.col("o_orderkey") % len(table) == n
+            text = F.when(here, F.replace(F.lit(damaged), F.lit("<K>"), F.col("o_orderkey").cast("string"))).otherwise(text)
+            schema = F.when(here, F.lit(wanted)).otherwise(schema)
+        rows = spread(_orders(spark, sf_dir)).withColumns({"payload": text, "wanted": schema})
+        out = repair_df(rows, "payload", F.col("wanted"), options)
+        corrections = F.coalesce("repair.tolerant.correction_count", F.lit(0))
+        return out.select(F.col("o_orderkey").cast("long").alias("k"), F.col("repair.repaired_text").alias("text"), corrections.alias("corrections"), F.round("repair.confidence", 6).alias("confidence"))
+
+
+_case_query("object_cases", cases.OBJECTS)
+_case_query("array_cases", cases.ARRAYS)
+_case_query("string_cases", cases.STRINGS)
+_case_query("value_cases", cases.VALUES)
+_case_query("salvage_cases", cases.SALVAGE)
+_case_query("failure_cases", cases.FAILURES, Options().without_salvage())
+_case_query("schema_cases", cases.SCHEMAS, _COERCE)
+_case_query("union_cases", cases.UNIONS)
+
+#: Options with one limit, a text that exceeds it, and the error.
+_LIMITS = (
+    (Options(limits=Limits(input=5)), '{"a":1000}', None, "Input length 10 exceeds the configured maximum of 5 characters."),
+    (Options(limits=Limits(output=5)), "{a:1000}", None, "Repaired output length 10 exceeds the configured maximum of 5 characters."),
+    (Options(limits=Limits(depth=3)), "{a:[[[[1", None, "Tolerant recovery exceeded the maximum nesting depth of 3."),
+    (Options(limits=Limits(corrections=2)), "{a:1,b:2,c:3}", None, "Tolerant recovery exceeded the maximum of 2 corrections."),
+    (Options(limits=Limits(corrections=2)).with_coercions(), '{"k":"1","s":1,"p":2,}', '{"type":"object","properties":{"k":{"type":"integer"},"s":{"type":"string"},"p":{"type":"string"}}}', "Repair exceeded the maximum of 2 corrections."),
+)
+
+
+@_register("limit_errors", " UNION ALL ".join(f"SELECT 'limit' AS kind, '{m}' AS message, count(*)::BIGINT AS rows FROM orders" for *_, m in _LIMITS))
+def limit_errors(spark, sf_dir):
+    """Each limit as an error in the row, and the correction budget across phases."""
+    out = None
+    for options, text, schema, _ in _LIMITS:
+        rows = repair_df(_orders(spark, sf_dir).withColumn("payload", F.lit(text)), "payload", schema, options, native_gate=False)
+        counts = rows.groupBy(F.col("repair.error.kind").alias("kind"), F.col("repair.error.message").alias("message")).agg(F.count(F.lit(1)).alias("rows"))
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+def _without_marks(text: str):
+    from jsonmend.kernel.texts import NOT_APPLICABLE, REPAIRED, Attempt
+
+    return Attempt(REPAIRED, text.replace("@@", "")) if "@@" in text else Attempt(NOT_APPLICABLE)
+
+
+def _faulty(text: str):
+    raise RuntimeError("out of order")
+
+
+@_register("custom_steps", "SELECT o_orderkey::BIGINT AS k, o_orderstatus AS s, o_orderpriority AS p, 'drop-marks' AS winner, 'RuntimeError: out of order' AS note, 4::INTEGER AS steps FROM orders")
+def custom_steps(spark, sf_dir):
+    """A step of one's own, one that raises and fails alone, and fewer built-in ones."""
+    options = Options().clear("text").without_salvage().add("text", "faulty", _faulty).add("text", "drop-marks", _without_marks)
+    options = options.insert_after("text", "faulty", "idle", lambda text: ("NotApplicable", None)).add("salvage", "last", _without_marks).remove("node", options.node_steps[0][0])
+    out = _repaired(_orders(spark, sf_dir), F.concat(F.lit("@@"), "j"), None, options)
+    r = F.col("repair")
+    return out.select(*_fields(r["repaired_text"]), r["succeeded_by"].alias("winner"), r["text_repairs"][0]["note"].alias("note"), F.size(r["text_repairs"]).alias("steps"))
+
+
+@_register("confident_rows", f"SELECT {_NAMES} AS damage, count(*)::BIGINT AS rows FROM orders WHERE {_cases([c[2] for c in _CLASSES])} >= 0.95 GROUP BY 1")
+def confident_rows(spark, sf_dir):
+    return _mixed(spark, sf_dir).filter(is_confident(F.col("repair"), 0.95 - 1e-9)).groupBy("damage").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@_register("bounded_notes", "SELECT o_orderkey::BIGINT AS k, 8::INTEGER AS listed, '4 additional mappings omitted' AS tail FROM orders")
+def bounded_notes(spark, sf_dir):
+    names = [f"field_{n:02}" for n in range(12)]
+    schema = '{"type":"object","properties":{' + ",".join(f'"{n}":{{"type":"integer"}}' for n in names) + '},"required":[' + ",".join(f'"{n}"' for n in names) + "]}"
+    given = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n.title()}":'), F.col("o_orderkey").cast("string")) for n in names]), F.lit("}"))
+    out = _repaired(_orders(spark, sf_dir), given, schema, _RENAME)
+    note = F.split(F.filter("repair.node_repairs", lambda r: r["status"] == "Succeeded")[0]["note"], "; ")
+    return out.select(F.col("o_orderkey").cast("long").alias("k"), (F.size(note) - 1).alias("listed"), F.element_at(note, -1).alias("tail"))
+
+
+@_register("sql_functions", "SELECT o_orderkey::BIGINT AS k, o_orderstatus AS s, o_orderpriority AS p, 'Succeeded' AS fence FROM orders")
+def sql_functions(spark, sf_dir):
+    """The SQL function and the table function."""
+    register(spark)
+    _orders(spark, sf_dir).select("o_orderkey", DAMAGE["fenced"](F.col("j")).alias("payload")).createOrReplaceTempView("jsonmend_payloads")
+    rows = spark.sql("SELECT json_repair(p.payload, NULL) AS r, f.status AS fence FROM jsonmend_payloads p, LATERAL repair_reports(p.payload, CAST(NULL AS STRING)) f WHERE f.name = 'markdown-json-fence'")
+    return rows.select(*_fields(F.col("r.repaired_text")), "fence")
+
+
+@_register("argument_codecs", "SELECT o_orderkey::BIGINT AS k, o_orderstatus AS s, o_orderpriority AS p, true AS refused FROM orders")
+def argument_codecs(spark, sf_dir):
+    """Arguments to a map of variants and back; anything but an object is refused."""
+    back = arguments_to_json(arguments_from_json(F.col("j")))
+    return _orders(spark, sf_dir).select(*_fields(back), arguments_from_json(F.concat(F.lit("["), "j", F.lit("]"))).isNull().alias("refused"))
+
+
+@_register("struct_schema", "SELECT o_orderkey::BIGINT AS k, CASE o_orderkey % 2 WHEN 0 THEN '$.k is required.' ELSE '' END AS errors FROM orders")
+def struct_schema(spark, sf_dir):
+    """The schema of a Spark type judges the rows."""
+    from pyspark.sql import types as T
+
+    kind = T.StructType([T.StructField("k", T.LongType(), False), T.StructField("s", T.StringType()), T.StructField("more", T.MapType(T.StringType(), T.DoubleType()))])
+    text = F.when(F.col("o_orderkey") % 2 == 0, _sub(F.col("j"), '"k":', '"z":')).otherwise(F.col("j"))
+    return _orders(spark, sf_dir).select(F.col("o_orderkey").cast("long").alias("k"), F.array_join(json_shape_errors(text, schema_text(kind)), "; ").alias("errors"))
+
+
+@_register("one_shot", _PLAIN)
+def one_shot(spark, sf_dir):
+    """The one-call helper with a configured engine, row by row in a vectorised function."""
+
+    @F.pandas_udf("string")
+    def helper(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: repair_text(t, None, Options.without_salvage).check().text_or_raise())
+
+    return spread(_orders(spark, sf_dir)).select(*_fields(helper(DAMAGE["trailing_comma"](F.col("j")))))
+
+
 # ---- chat
 
 
-@_register("tool_calls", "SELECT o_orderkey::BIGINT AS k, o_orderstatus AS s, o_orderpriority AS p, 'get_order' AS name FROM orders")
+def _calls(spark, sf_dir, name: Column) -> DataFrame:
+    return spread(_orders(spark, sf_dir)).select(F.col("o_orderkey").cast("long").alias("id"), name.alias("name"), DAMAGE["missing_closer"](F.col("j")).alias("arguments"))
+
+
+def _tools(spark) -> DataFrame:
+    rows = [("get_order", '{"type":"string"}'), ("get_order", _schema()), ("get_order", '{"type":"object"}'), ("put_order", _schema(p='{"type":"integer"}')), ("other", '{"type":"object"}')]
+    return spark.createDataFrame(rows, "name string, schema_json string")
+
+
+_TOOL = "CASE o_orderkey % 3 WHEN 0 THEN 'get_order' WHEN 1 THEN 'put_order' ELSE 'unlisted' END"
+
+
+@_register("tool_calls", f"SELECT o_orderkey::BIGINT AS k, o_orderstatus AS s, o_orderpriority AS p, {_TOOL} AS name, 'function:' || {_TOOL} AS target, o_orderkey % 3 = 1 AS mismatched FROM orders")
 def tool_calls(spark, sf_dir):
-    tools = spark.createDataFrame([("get_order", _schema()), ("get_order", '{"type":"object"}'), ("other", '{"type":"object"}')], "name string, schema_json string")
-    calls = spread(_orders(spark, sf_dir)).select(F.lit("get_order").alias("name"), DAMAGE["missing_closer"](F.col("j")).alias("arguments"))
-    return chat.repair_tool_calls(calls, tools).select(*_fields(F.col("arguments")), "name")
+    """Calls of a listed tool, of one whose schema the arguments break (they stay damaged), and of an unlisted one."""
+    which = F.col("o_orderkey") % 3
+    calls = _calls(spark, sf_dir, F.when(which == 0, "get_order").when(which == 1, "put_order").otherwise("unlisted"))
+    out = chat.repair_tool_calls(calls, _tools(spark))
+    whole = F.when(F.col("arguments").endswith("}"), F.col("arguments")).otherwise(F.concat("arguments", F.lit("}")))
+    return out.select(*_fields(whole), "name", F.col("repair_target").alias("target"), (~F.col("arguments").endswith("}")).alias("mismatched"))
+
+
+@_register("hot_tool_calls", "SELECT 'get_order' AS name, count(*)::BIGINT AS rows, count(*)::BIGINT AS repaired FROM orders")
+def hot_tool_calls(spark, sf_dir):
+    """All calls name one tool."""
+    out = chat.repair_tool_calls(_calls(spark, sf_dir, F.lit("get_order")), _tools(spark))
+    return out.groupBy("name").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("arguments").endswith("}").cast("long")).alias("repaired"))
+
+
+@_register("raw_arguments", "SELECT o_orderkey::BIGINT AS k, o_orderstatus AS s, o_orderpriority AS p, o_orderkey % 2 = 0 AS informational FROM orders")
+def raw_arguments(spark, sf_dir):
+    """The provider's text where the arguments are null; informational calls keep their null."""
+    calls = _calls(spark, sf_dir, F.lit("get_order")).withColumnRenamed("arguments", "sent").withColumns({"arguments": F.lit(None).cast("string"), "informational": F.col("id") % 2 == 0})
+    out = calls.transform(chat.with_repaired_calls(_tools(spark), raw="sent"))
+    text = F.when(F.col("informational") & F.col("arguments").isNull(), F.concat("sent", F.lit("}"))).otherwise(F.col("arguments"))
+    return out.select(*_fields(text), "informational")
+
+
+@_register("chat_toggles", "SELECT count(*)::BIGINT AS rows, count(*)::BIGINT AS unchanged, 0::BIGINT AS audit_columns FROM orders")
+def chat_toggles(spark, sf_dir):
+    calls = _calls(spark, sf_dir, F.lit("get_order"))
+    off = chat.ChatOptions(repair_calls=False, keep_audit=False)
+    out = chat.repair_tool_calls(calls, _tools(spark), chat=off)
+    extra = len(set(out.columns) - set(calls.columns))
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.sum((~F.col("arguments").endswith("}")).cast("long")).alias("unchanged"), F.lit(extra).cast("long").alias("audit_columns"))
+
+
+@_register("response_texts", "SELECT o_orderkey::BIGINT AS k, o_orderkey % 3 <> 2 AS replaced, 'response-text' AS target FROM orders")
+def response_texts(spark, sf_dir):
+    """Texts with a response schema, texts that look like JSON, and prose that stays."""
+    which = F.col("o_orderkey") % 3
+    text = F.when(which == 0, F.concat("j", F.lit(","))).when(which == 1, DAMAGE["fenced"](F.col("j"))).otherwise(F.lit("No JSON here."))
+    messages = spread(_orders(spark, sf_dir)).select("o_orderkey", text.alias("text"), F.col("j"), F.when(which == 0, _schema()).alias("wanted"))
+    out = messages.transform(chat.with_repaired_texts(chat=chat.ChatOptions(texts_without_schema=True), schema=F.col("wanted")))
+    return out.select(F.col("o_orderkey").cast("long").alias("k"), (F.col("text") == F.col("j")).alias("replaced"), F.col("repair_target").alias("target"))
+
+
+@_register("notifications", "SELECT 'function:get_order' AS target, true AS succeeded, 0.98::DOUBLE AS confidence, count(*)::BIGINT AS rows FROM orders")
+def notifications(spark, sf_dir):
+    told = audit.notifications(chat.repair_tool_calls(_calls(spark, sf_dir, F.lit("get_order")), _tools(spark)))
+    return told.groupBy("target", "succeeded", F.round("confidence", 6).alias("confidence")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @_register("plausibility_guard", "SELECT count(*)::BIGINT AS rows, count(*)::BIGINT AS unchanged FROM orders")
@@ -265,7 +452,42 @@ def stream_completed(spark, sf_dir):
             chunks = [(k, c, k == len(parts) - 1) for k, c in enumerate(parts)]
             state, _, _ = feed(None, chunks[1:], 1 << 22)
             state, _, done = feed(state, chunks[:1], 1 << 22)
-            out.append(state[0] if done else None)
+            out.append(state.text if done else None)
         return pd.Series(out)
 
     return _table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("event_id"), replay("props", third).alias("text"))
+
+
+def _shared(spark) -> str:
+    """A new folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{root.rstrip('/')}/jsonmend-stream-{uuid.uuid4().hex}"
+
+
+#: Ends of stable text within ``{"k":…,"s":"…","p":"…"}`` whose key has ``d`` digits; the last brace never comes and 16 characters are held back.
+_STABLE = "list_max(list_filter([1, 4, 5, 6 + d, 9 + d, 10 + d, 13 + d, 14 + d, 17 + d, 18 + d], lambda x: x <= length(j) - 17))"
+
+
+@_register("stream_deltas", f"""WITH o AS (SELECT *, length(o_orderkey::VARCHAR) AS d, '{{"k":' || o_orderkey || ',"s":"' || o_orderstatus || '","p":"' || o_orderpriority || '"}}' AS j FROM orders)
+SELECT o_orderkey::BIGINT AS k, substr(j, 1, {_STABLE}) AS deltas, j AS text, true AS succeeded, 0.98::DOUBLE AS confidence, NULL::BIGINT AS missing_seq FROM o""")
+def stream_deltas(spark, sf_dir):
+    """A real stream over the orders' texts without their last brace, in three chunks of which the middle one comes last."""
+    folder = _shared(spark)
+    text = DAMAGE["missing_closer"](F.col("j"))
+    third = F.ceil(F.length(text) / 3).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda n: F.struct(n.cast("long").alias("seq"), F.substring(text, n * third + 1, third).alias("chunk"), (n == 2).alias("is_last")))
+    chunks = spread(_orders(spark, sf_dir)).select(F.col("o_orderkey").cast("string").alias("stream_id"), F.explode(parts).alias("c")).select("stream_id", "c.*")
+    for late in (False, True):  # two runs of the stream, the second with the missing chunk
+        chunks.filter((F.col("seq") == 1) == late).write.mode("append").parquet(f"{folder}/chunks")
+        source = spark.readStream.schema("stream_id string, seq long, chunk string, is_last boolean").parquet(f"{folder}/chunks")
+        events = repair_stream(source, timeout_ms=None).writeStream.format("parquet").option("path", f"{folder}/events").option("checkpointLocation", f"{folder}/state")
+        events.trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.parquet(f"{folder}/events")
+    deltas = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == "delta", F.struct("offset", "text")))), lambda d: d["text"]), "")
+    done = F.max(F.when(F.col("kind") == "completed", F.struct("text", "repair", "missing_seq"))).alias("done")
+    rows = told.withColumn("repair", F.struct("repair.succeeded", "repair.confidence")).groupBy("stream_id").agg(deltas.alias("deltas"), done)
+    return rows.select(F.col("stream_id").cast("long").alias("k"), "deltas", "done.text", "done.repair.succeeded", F.round("done.repair.confidence", 6).alias("confidence"), "done.missing_seq")

@@ -77,7 +77,7 @@ def complete(state: State, options: Options, schema: str | None) -> Result:
     return engine_for(options).repair(state.whole(), compile_schema(schema))
 
 
-def repair_stream(chunks: DataFrame, schema: str | None = None, options: Options | None = None, timeout_ms: int = 600_000) -> DataFrame:
+def repair_stream(chunks: DataFrame, schema: str | None = None, options: Options | None = None, timeout_ms: int | None = 600_000) -> DataFrame:
     """Events of a streaming DataFrame (stream_id string, seq long, chunk string, is_last boolean).
 
     ``delta`` rows carry contiguous slices from offset 0 as they become stable;
@@ -87,6 +87,9 @@ def repair_stream(chunks: DataFrame, schema: str | None = None, options: Options
     names the first chunk that never came.  A stream over the input limit
     completes with that error.  A completed stream is remembered for
     ``timeout_ms``, so that late and repeated chunks do not open it again.
+    With ``timeout_ms`` None nothing times out and completed streams are
+    remembered for good: for replays with ``availableNow``, which Spark keeps
+    running while a processing-time timeout is set.
     """
     options = options or Options()
 
@@ -108,7 +111,10 @@ def repair_stream(chunks: DataFrame, schema: str | None = None, options: Options
             kept = State(next=kept.next, last=kept.last, done=True)
         if done or not state.hasTimedOut:
             state.update(tuple(kept))
-            state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(rows, columns=COLUMNS).astype({"offset": "Int64", "missing_seq": "Int64", "repair": object})
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
+        if rows:
+            yield pd.DataFrame(rows, columns=COLUMNS).astype({"offset": "Int64", "missing_seq": "Int64", "repair": object})
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, EVENT_TYPE, STATE_TYPE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, EVENT_TYPE, STATE_TYPE, "append", timeout)

@@ -181,8 +181,8 @@ def test_streaming_query(spark, tmp_path):
         rows = [json.dumps({"stream_id": s, "seq": k, "chunk": text[k * 25 : (k + 1) * 25], "is_last": k == 2}) for s in ("x", "y")]
         (tmp_path / f"{k}.json").write_text("\n".join(rows))
     chunks = spark.readStream.schema("stream_id string, seq long, chunk string, is_last boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path))
-    query = repair_stream(chunks).writeStream.format("memory").queryName("deltas").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = repair_stream(chunks, timeout_ms=None).writeStream.format("memory").queryName("deltas").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     rows = spark.table("deltas").collect()
     done = [r for r in rows if r.kind == "completed"]
     assert {r.stream_id for r in done} == {"x", "y"} and all(json.loads(r.text)["note"] == "a long enough tail" for r in done)
