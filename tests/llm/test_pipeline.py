@@ -32,3 +32,16 @@ def test_stages(spark):
     codec, texts = bpe.codec(open(bpe.default_tokenizer(), encoding="utf-8").read()), {r[0]: r[1] for r in rows + planted}
     assert all(r.token_ids == codec.encode(texts[r.doc_id]) for r in docs.collect())
     assert pipeline.ORACLE_SQL is None
+
+
+def test_stages_take_empty_tables_and_odd_rows(spark):
+    """Each stage alone: no row, nulls everywhere, empty and repeated rows, one long text, and a clashing column."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long"
+    odd = [(None, None, None, None, None, None), (1, "", "aa", None, 0, 1), (2, "same words here again and again", "aa", "s", 1, 1), (2, "same words here again and again", "aa", "s", 1, 1), (3, "long " * 60_000, "bb", "s", 1, 1)]
+    for name, stage in pipeline.STAGES:
+        assert materialize(stage(spark, spark.createDataFrame([], schema), ""), name).count() == 0, name
+        ids = [r.doc_id for r in stage(spark, spark.createDataFrame(odd, schema), "").select("doc_id").collect()]
+        wanted = {"language": {2, 3}, "exact_dedup": {1, 2, 3}, "near_dedup": {None, 1, 2, 3}, "tokens": {None, 1, 2, 3}}
+        if name != "mixing":
+            assert set(ids) == wanted[name], name
+        assert set(ids) <= {None, 1, 2, 3} and (name != "tokens" or len(ids) == 5)
