@@ -114,7 +114,7 @@ def repair_stream(chunks: DataFrame, schema: str | None = None, options: Options
             if timeout_ms is not None:
                 state.setTimeoutDuration(timeout_ms)
         if rows:
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({"offset": "Int64", "missing_seq": "Int64", "repair": object})
+            yield pd.DataFrame(rows, columns=COLUMNS, dtype=object)
 
     timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return chunks.groupBy("stream_id").applyInPandasWithState(run, EVENT_TYPE, STATE_TYPE, "append", timeout)
