@@ -130,6 +130,14 @@ def test_raw_arguments_tool_order_and_transforms(spark, monkeypatch, tmp_path):
     assert texts.first().text == "[1]" and texts.first().repair_target == "response-text"
 
 
+@pytest.mark.parametrize("name", ["'f'", "concat('f', id % 3)"])
+def test_calls_are_never_broadcast(spark, name):
+    tools = spark.createDataFrame([("f", '{"type":"object"}'), ("f1", '{"type":"object"}')], "name string, schema_json string")
+    calls = spark.range(100).select("id", F.expr(name).alias("name"), F.lit("{a:1").alias("arguments"))
+    plan = chat.repair_tool_calls(calls, tools)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
 def test_columns_of_internal_names_survive(spark):
     df = spark.createDataFrame([("{a:1}", 1, 2, "x")], "payload string, __gate int, __kernel int, tool_name string")
     r = repair_df(df, "payload").first()
