@@ -378,3 +378,41 @@ def test_recovered_numbers_are_written_as_integers_or_shortest_doubles(given, wr
 
 def test_dumps_keeps_spelling():
     assert dumps(parse('{"a":1.50,"b":1e5,"c":[]}')) == '{"a":1.50,"b":1e5,"c":[]}'
+
+
+def test_names_that_rows_share_are_compared_once(monkeypatch):
+    names = [f"shared_{n:02}" for n in range(12)]
+    schema = json.dumps({"type": "object", "properties": {n: {"type": "integer"} for n in names}, "required": names})
+    compared, fitted = [], []
+    distance, prepared = nodes.distance, nodes.prepared
+    monkeypatch.setattr(nodes, "distance", lambda *a, **k: compared.append(a) or distance(*a, **k))
+    monkeypatch.setattr(nodes, "prepared", lambda *a: fitted.append(a) or prepared(*a))
+    engine = RepairEngine(Options().with_required_reconciliation())
+    for row in range(20):
+        found = engine.repair(json.dumps({n.title(): row for n in names}), schema)
+        assert found.value == {n: row for n in names} and found.shape_status == "Matched"
+    assert len(compared) <= 12 * 12 and len(fitted) == 20 * 12
+
+
+def test_a_value_that_the_nearest_name_refuses_goes_to_the_next():
+    schema = {"type": "object", "properties": {"total": {"type": "array"}, "totals": {"type": "integer"}}, "required": ["total", "totals"]}
+    found = nodes.reconcile_required({"Total": 5}, Schema(schema))
+    assert found.value == {"totals": 5}
+
+
+def test_edit_distance_without_shared_ends_is_the_plain_one():
+    def plain(a, b, swaps):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if swaps and i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    pick = random.Random(5)
+    for _ in range(3000):
+        a, b = ("".join(pick.choice("abc") for _ in range(pick.randrange(7))) for _ in "ab")
+        for most in (0, 1, 2):
+            for swaps in (False, True):
+                assert nodes.distance(a, b, most, swaps) == min(plain(a, b, swaps), most + 1)
