@@ -39,20 +39,30 @@ def untouched(text: Column, options: Options) -> Column:
     return F.struct(*[c.alias(n) for n, c in parts.items()]).cast(RESULT_TYPE)
 
 
+#: Tasks that inputs of several partitions get for each of them, or for each core if there are more of those.
+TASKS = 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if it has fewer partitions than that; large inputs stay as they are.
+    """``df`` dealt out evenly, row by row, once.
 
-    The kernel is bound by CPU, not by bytes, and Spark packs small files into
-    one partition.
+    The kernel is bound by rows, not by bytes: Spark packs small files into one
+    partition, and cuts a large file into pieces of which only those that hold
+    the middle of a row group get rows.  So a task a core for a single
+    partition, and for more ``TASKS`` times as many as there are partitions
+    or cores: their number grows with the input, and no file layout, however
+    few its row groups, gives one task many of its rows.
     """
     if df.isStreaming:
         return df
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        few = df.rdd.getNumPartitions() < cores
+        if "Repartition" in df._jdf.queryExecution().optimizedPlan().toString():  # dealt out already
+            return df
+        have = df.rdd.getNumPartitions()
     except PySparkException:  # a session without partitions to look at
         return df
-    return df.repartition(cores) if few else df
+    return df.repartition(cores if have < 2 else TASKS * max(cores, have))
 
 
 def repair_df(df: DataFrame, column: str, schema: str | Column | None = None, options: Options | None = None, out: str = "repair", native_gate: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from jsonmend.kernel import texts
 from jsonmend.kernel.engine import Limits, Options, Result, repair_text
 from jsonmend.kernel.values import is_document
 from jsonmend.operators import audit, chat
-from jsonmend.operators.frame import repair_df
+from jsonmend.operators.frame import repair_df, spread
 from jsonmend.sources.damage import DAMAGE, read_payloads
 from jsonmend.streaming.deltas import complete, feed, repair_stream
 
@@ -255,3 +255,22 @@ def test_codecs_and_struct_schemas(spark):
     out = audit.observed(repair_df(df, "t"), seen)
     out.count()
     assert seen.get["rows"] == 4 and seen.get["unchanged"] == 2
+
+
+def test_one_row_group_is_dealt_over_many_tasks(spark, tmp_path):
+    """A file of several pieces whose rows all lie in one of them."""
+    path = str(tmp_path / "one_group")
+    spark.range(0, 40_000, 1, 1).selectExpr("id", "concat('{k:', id, '}') AS payload").write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        rows = spark.read.parquet(path)
+        pieces = rows.rdd.getNumPartitions()
+        alone = rows.groupBy(F.spark_partition_id()).count().count()
+        assert pieces > 4 and alone == 1
+        dealt = repair_df(rows, "payload").select("id", F.spark_partition_id().alias("part"))
+        counts = [r["count"] for r in dealt.groupBy("part").count().collect()]
+        assert sum(counts) == 40_000 and len(counts) >= 4 * 16 and max(counts) <= 2 * 40_000 / (4 * 16)
+        once = spread(rows)
+        assert spread(once) is once and spread(once.withColumn("more", F.lit(1))).rdd.getNumPartitions() == once.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
