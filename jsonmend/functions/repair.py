@@ -34,6 +34,15 @@ def passes_gate(text: Column) -> Column:
     return F.coalesce(second & third & plain, F.lit(False))
 
 
+def repaired(texts: list[str | None], schemas: list[str | None], options: Options) -> pa.Array:
+    """The results of a batch; a text and schema that it repeats are repaired once."""
+    engine = engine_for(options)
+    places: dict = {}
+    at = [places.setdefault(pair, len(places)) for pair in zip(texts, schemas, strict=True)]
+    found = as_array([None if t is None else engine.repair(t, compile_schema(s)) for t, s in places])
+    return found if len(places) == len(at) else found.take(pa.array(at, pa.int64()))
+
+
 def json_repair(text: Column, schema: str | Column | None = None, options: Options | None = None) -> Column:
     """The result struct of repairing a text; null in, null out.
 
@@ -43,9 +52,7 @@ def json_repair(text: Column, schema: str | Column | None = None, options: Optio
     options = options or Options()
 
     def results(batch: pa.Array, schemas) -> pa.Array:
-        engine = engine_for(options)
-        pairs = zip(batch.to_pylist(), schemas, strict=True)
-        return as_array([None if t is None else engine.repair(t, compile_schema(s)) for t, s in pairs])
+        return repaired(batch.to_pylist(), schemas, options)
 
     if isinstance(schema, Column):
 

@@ -30,9 +30,45 @@ ARROW_TYPE = pa.struct(
 )
 
 
+def _shared(values: list, kind: pa.DataType, spell=lambda v: v) -> pa.Array:
+    """Hashable values as an Arrow array; each different one is converted once."""
+    places: dict = {}
+    at = [places.setdefault(v, len(places)) for v in values]
+    found = pa.array([spell(v) for v in places], kind)
+    return found if len(places) == len(values) else found.take(pa.array(at, pa.int64()))
+
+
+def _dicts(reports: tuple) -> list[dict]:
+    return [x._asdict() for x in reports]
+
+
 def as_array(results: list[Result | None]) -> pa.Array:
-    """Results as one Arrow array; None becomes a null struct."""
-    return pa.array([as_row(r) for r in results], ARROW_TYPE)
+    """Results as one Arrow array; None becomes a null struct.
+
+    Rows differ in their texts but share most of their audit, so each different
+    part of it is converted once.
+    """
+    rows = [r if r is not None else _NOTHING for r in results]
+    named = lambda t: None if t is None else {"succeeded": t[0], "outcome": t[1], "correction_count": t[2], "schema_string_correction_count": t[3], "corrections": t[4]}
+    parts = {
+        "succeeded": pa.array([r.succeeded for r in rows], pa.bool_()),
+        "is_repair_accepted": pa.array([r.is_repair_accepted for r in rows], pa.bool_()),
+        "was_repaired": pa.array([r.was_repaired for r in rows], pa.bool_()),
+        "repaired_text": pa.array([r.repaired_text for r in rows], pa.string()),
+        "shape_status": pa.array([r.shape_status for r in rows], pa.string()),
+        "shape_errors": _shared([tuple(r.shape_errors) for r in rows], _TEXTS),
+        "text_repairs": _shared([tuple(r.text_repairs) for r in rows], _ARROW_REPORTS, _dicts),
+        "node_repairs": _shared([tuple(r.node_repairs) for r in rows], _ARROW_REPORTS, _dicts),
+        "tolerant": _shared([(*r.tolerant[:4], tuple(r.tolerant[4])) if r.tolerant else None for r in rows], _ARROW_TOLERANT, named),
+        "succeeded_by": pa.array([r.succeeded_by for r in rows], pa.string()),
+        "confidence": pa.array([r.confidence for r in rows], pa.float64()),
+        "error": _shared([r.error for r in rows], ARROW_TYPE.field("error").type, lambda e: {"kind": e[0], "message": e[1]} if e else None),
+    }
+    absent = pa.array([r is None for r in results], pa.bool_())
+    return pa.StructArray.from_arrays([parts[f.name] for f in ARROW_TYPE], fields=list(ARROW_TYPE), mask=absent)
+
+
+_NOTHING = Result(False)
 
 
 def as_row(r: Result | None) -> dict | None:

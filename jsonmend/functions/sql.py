@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from jsonmend.functions.result import RESULT_TYPE, as_array
+from jsonmend.functions.repair import repaired
+from jsonmend.functions.result import RESULT_TYPE
 from jsonmend.kernel.engine import Options, engine_for
 from jsonmend.kernel.schema import compile_schema
 
@@ -20,9 +21,7 @@ def register(spark: SparkSession, options: Options | None = None) -> None:
 
     @F.arrow_udf(RESULT_TYPE)
     def json_repair(batch: pa.Array, schemas: pa.Array) -> pa.Array:
-        engine = engine_for(options)
-        pairs = zip(batch.to_pylist(), schemas.to_pylist(), strict=True)
-        return as_array([None if t is None else engine.repair(t, compile_schema(s)) for t, s in pairs])
+        return repaired(batch.to_pylist(), schemas.to_pylist(), options)
 
     class RepairReports:
         """One row a step, in order."""

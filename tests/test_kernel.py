@@ -416,3 +416,21 @@ def test_edit_distance_without_shared_ends_is_the_plain_one():
         for most in (0, 1, 2):
             for swaps in (False, True):
                 assert nodes.distance(a, b, most, swaps) == min(plain(a, b, swaps), most + 1)
+
+
+def test_a_batch_repairs_a_repeated_text_once(monkeypatch):
+    import pyarrow as pa
+
+    from jsonmend.functions.repair import repaired
+    from jsonmend.functions.result import ARROW_TYPE, as_array, as_row
+
+    seen, repair = [], RepairEngine.repair
+    monkeypatch.setattr(RepairEngine, "repair", lambda self, text, schema=None: seen.append(text) or repair(self, text, schema))
+    schema = '{"type":"object","properties":{"k":{"type":"string"}}}'
+    each = ["{a:1", None, "", "not json", '{"k":1,}', "{a:1", '```json\n{"a":1}\n```', "{'a':None}", '{"k":1', "[1,2", '{"a":"é😀",}', '{"k":1}']
+    texts, schemas = each * 60, ([None] * len(each) + [schema] * len(each)) * 30
+    got = repaired(texts, schemas, Options())
+    assert len(seen) == 2 * len({t for t in each if t is not None})
+    want = [None if t is None else as_row(RepairEngine().repair(t, s)) for t, s in zip(texts, schemas, strict=True)]
+    assert got.type == ARROW_TYPE and got.equals(pa.array(want, ARROW_TYPE)) and got.to_pylist() == want
+    assert as_array([]).to_pylist() == [] and as_array([None]).to_pylist() == [None]
