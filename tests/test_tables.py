@@ -274,3 +274,43 @@ def test_one_row_group_is_dealt_over_many_tasks(spark, tmp_path):
         assert spread(once) is once and spread(once.withColumn("more", F.lit(1))).rdd.getNumPartitions() == once.rdd.getNumPartitions()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_streams_share_groups_but_not_states(spark, tmp_path):
+    """Hundreds of streams in three state rows, null and completed ones included; the second run brings the missing chunks."""
+    source = tmp_path / "in"
+    source.mkdir()
+    names = [None, *(f"s{n}" for n in range(299))]
+    text = lambda n: f'{{"n": {n}, "note": "a tail that is long enough", "more": [1, 2'
+    pieces = lambda n: [text(n)[:20], text(n)[20:40], text(n)[40:]]
+    for late in (False, True):
+        rows = [{"stream_id": s, "seq": k, "chunk": c, "is_last": k == 2} for n, s in enumerate(names) for k, c in enumerate(pieces(n)) if (k == 1 and n % 2 == 0) == late]
+        (source / f"{late}.json").write_text("\n".join(map(json.dumps, rows)))
+        chunks = spark.readStream.schema("stream_id string, seq long, chunk string, is_last boolean").json(str(source))
+        query = repair_stream(chunks, timeout_ms=None, buckets=3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        assert query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 3
+        told = spark.read.parquet(str(tmp_path / "out")).collect()
+        done = {r.stream_id: r for r in told if r.kind == "completed"}
+        assert len(done) == sum(r.kind == "completed" for r in told) == (300 if late else 150)
+    for n, s in enumerate(names):
+        assert done[s].text == repair_text(text(n)).repaired_text and done[s].missing_seq is None
+        deltas = sorted((r.offset, r.text) for r in told if r.kind == "delta" and r.stream_id == s)
+        assert deltas and text(n).startswith("".join(t for _, t in deltas)) and [at for at, _ in deltas] == [sum(len(t) for _, t in deltas[:k]) for k in range(len(deltas))]
+
+
+def test_streams_of_one_group_time_out_each_for_itself(spark, tmp_path):
+    source, write = tmp_path / "in", lambda n, rows: (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(r) for r in rows))
+    source.mkdir()
+    write(0, [{"stream_id": "quiet", "seq": 0, "chunk": '{"a": [1', "is_last": False}, {"stream_id": "busy", "seq": 0, "chunk": '{"b": [0', "is_last": False}])
+    chunks = spark.readStream.schema("stream_id string, seq long, chunk string, is_last boolean").json(str(source))
+    query = repair_stream(chunks, timeout_ms=4_000, buckets=1).writeStream.format("memory").queryName("each").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+    completed = lambda: [r for r in spark.table("each").collect() if r.kind == "completed"]
+    for n in range(1, 80):
+        write(n, [{"stream_id": "busy", "seq": n, "chunk": f",{n}", "is_last": False}])
+        time.sleep(0.5)
+        if any(r.stream_id == "quiet" for r in completed()):
+            break
+    told = completed()
+    query.stop()
+    assert [(r.stream_id, r.text) for r in told] == [("quiet", '{"a":[1]}')]
