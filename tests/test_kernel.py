@@ -443,3 +443,10 @@ def test_marks_are_read_without_a_pattern(monkeypatch):
     monkeypatch.setattr(parser, "_TOKEN", type("Counted", (), {"match": staticmethod(lambda text, at: tried.append(at) or pattern.match(text, at))}))
     assert tolerant('{"a" "b","c":[[],{}], k:1').root == {"a": "b", "c": [[], {}], "k": 1}
     assert len(set(tried)) == len(tried) <= 6
+
+
+def test_names_without_escapes_are_read_by_one_pattern(monkeypatch):
+    from jsonmend.kernel import parser
+
+    monkeypatch.setattr(parser, "_PLAIN", None)  # the reader of runs between escapes
+    assert tolerant('{"k" 1,"long name":2,"é":3,}').root == {"k": 1, "long name": 2, "é": 3}

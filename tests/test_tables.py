@@ -314,3 +314,21 @@ def test_streams_of_one_group_time_out_each_for_itself(spark, tmp_path):
     told = completed()
     query.stop()
     assert [(r.stream_id, r.text) for r in told] == [("quiet", '{"a":[1]}')]
+
+
+@pytest.mark.parametrize("damage", ["missing_colon", "missing_comma", "verbatim", "template", "unquoted_keys", "single_quoted", "trailing_comma", "missing_closer", "fenced", "xml", "prose", "comments", "unicode"])
+def test_the_gate_parses_no_such_damage(spark, damage):
+    """A parse of damaged text costs an exception; one pattern refuses it before."""
+    from jsonmend.functions.repair import in_sequence
+
+    df = spark.createDataFrame([('{"k":1,"s":"O","p":"1-URGENT"}',)], "j string")
+    assert df.select(in_sequence(F.col("j")), in_sequence(DAMAGE[damage](F.col("j")))).first()[:] == (True, False)
+
+
+def test_the_pattern_before_the_gate_lets_all_json_pass(spark):
+    from jsonmend.functions.repair import in_sequence
+
+    whole = ['{}', '[]', ' [ [ ] , { } ]\n', '{"a":[],"b":{"c":-1.5E+3}}', '[true,false,null,"\\"]\\\\"]', '{"":"\\u0041","x y":[{"z":[1]}]}\r\n\t']
+    whole += ["[" + "1," * 300_000 + "1]", '["' + '\\"' * 300_000 + '"]', "[" * 60 + "{}" + "]" * 60]
+    rows = spark.createDataFrame([(t,) for t in whole], "t string").select("t", in_sequence(F.col("t")).alias("s"), passes_gate(F.col("t")).alias("g")).collect()
+    assert all(r.s and r.g for r in rows if not r.t.startswith("[[[")) and all(r.s for r in rows)
