@@ -450,3 +450,13 @@ def test_names_without_escapes_are_read_by_one_pattern(monkeypatch):
 
     monkeypatch.setattr(parser, "_PLAIN", None)  # the reader of runs between escapes
     assert tolerant('{"k" 1,"long name":2,"é":3,}').root == {"k": 1, "long name": 2, "é": 3}
+
+
+def test_members_of_one_object_are_written_without_a_call_each(monkeypatch):
+    from jsonmend.kernel import values
+
+    calls, write = [], values._write
+    monkeypatch.setattr(values, "_write", lambda value, out: (calls.append(value), write(value, out)))
+    assert dumps({"k": 1, "s": 'a"b', "t": True, "n": None, "e": {}, "l": [1, "x"]}) == '{"k":1,"s":"a\\"b","t":true,"n":null,"e":{},"l":[1,"x"]}'
+    calls.clear()
+    assert dumps({"k": 1, "s": "O", "p": "1-URGENT"}) == '{"k":1,"s":"O","p":"1-URGENT"}' and len(calls) == 1
