@@ -332,3 +332,10 @@ def test_the_pattern_before_the_gate_lets_all_json_pass(spark):
     whole += ["[" + "1," * 300_000 + "1]", '["' + '\\"' * 300_000 + '"]', "[" * 60 + "{}" + "]" * 60]
     rows = spark.createDataFrame([(t,) for t in whole], "t string").select("t", in_sequence(F.col("t")).alias("s"), passes_gate(F.col("t")).alias("g")).collect()
     assert all(r.s and r.g for r in rows if not r.t.startswith("[[[")) and all(r.s for r in rows)
+
+
+@pytest.mark.parametrize("text", ["{'k': 1, ok: True, x: None}", "{\"k\": 1, \"ok\": True}", '{"k":NaN}'])
+def test_the_gate_parses_no_foreign_literals(spark, text):
+    from jsonmend.functions.repair import in_sequence
+
+    assert not spark.createDataFrame([(text,)], "t string").select(in_sequence(F.col("t"))).first()[0]
