@@ -487,3 +487,8 @@ def test_both_extractions_look_for_the_end_once():
     texts.refuse_concatenation(text), texts.strip_prose(text)
     assert texts.balanced_end.cache_info()[:2] == (1, 1)
     assert texts.balanced_end('{"a":"}\\"]"}x', 0) == 12 and texts.balanced_end('{"a":"\\', 0) is None
+
+
+def test_verbatim_strings_are_quoted_without_an_encoder(monkeypatch):
+    monkeypatch.setattr(texts.json, "dumps", None)
+    assert texts.verbatim_strings('{"s":@"a""b\\c","t":1}').text == '{"s":"a\\"b\\\\c","t":1}'
