@@ -492,3 +492,12 @@ def test_both_extractions_look_for_the_end_once():
 def test_verbatim_strings_are_quoted_without_an_encoder(monkeypatch):
     monkeypatch.setattr(texts.json, "dumps", None)
     assert texts.verbatim_strings('{"s":@"a""b\\c","t":1}').text == '{"s":"a\\"b\\\\c","t":1}'
+
+
+def test_depth_is_counted_only_where_openers_are_many(monkeypatch):
+    from jsonmend.kernel import values
+
+    counted, depth = [], values.depth_of
+    monkeypatch.setattr(values, "depth_of", lambda value: (counted.append(1), depth(value))[1])
+    assert parse('{"k":1,"zz":"3-MEDIUM"}') and not counted
+    assert not is_document("[" * 65 + "]" * 65) and is_document("[" * 64 + "]" * 64) and len(counted) == 1
