@@ -501,3 +501,10 @@ def test_depth_is_counted_only_where_openers_are_many(monkeypatch):
     monkeypatch.setattr(values, "depth_of", lambda value: (counted.append(1), depth(value))[1])
     assert parse('{"k":1,"zz":"3-MEDIUM"}') and not counted
     assert not is_document("[" * 65 + "]" * 65) and is_document("[" * 64 + "]" * 64) and len(counted) == 1
+
+
+def test_shape_errors_of_the_kept_value_are_found_once(monkeypatch):
+    judged, errors = [], Schema.errors
+    monkeypatch.setattr(Schema, "errors", lambda self, value: (judged.append(value), errors(self, value))[1])
+    found = repair_text('{"k":1}', '{"type":"object","properties":{"k":{"type":"integer"}},"required":["s"]}')
+    assert found.shape_errors == ["$.s is required."] and len(judged) == 1
