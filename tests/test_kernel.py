@@ -513,3 +513,8 @@ def test_shape_errors_of_the_kept_value_are_found_once(monkeypatch):
 def test_rows_share_the_reports_of_steps_that_did_not_apply():
     a, b = repair_text('{"k":1,"s":"O","p":'), repair_text('{"k":2,"s":"P","p":')
     assert a.text_repairs[:7] == b.text_repairs[:7] and all(x is y for x, y in zip(a.text_repairs[:7], b.text_repairs[:7], strict=True))
+
+
+def test_texts_without_a_tag_are_not_searched_for_elements(monkeypatch):
+    monkeypatch.setattr(texts, "_TAG", None)
+    assert texts.unwrap_xml('{k:1,s:"O"}') is texts.SKIP
