@@ -518,3 +518,8 @@ def test_rows_share_the_reports_of_steps_that_did_not_apply():
 def test_texts_without_a_tag_are_not_searched_for_elements(monkeypatch):
     monkeypatch.setattr(texts, "_TAG", None)
     assert texts.unwrap_xml('{k:1,s:"O"}') is texts.SKIP
+
+
+def test_template_strings_are_quoted_without_an_encoder(monkeypatch):
+    monkeypatch.setattr(texts.json, "dumps", None)
+    assert texts.template_strings('{"s":`a\\`"b`}').text == '{"s":"a`\\"b"}'
