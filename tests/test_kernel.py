@@ -523,3 +523,14 @@ def test_texts_without_a_tag_are_not_searched_for_elements(monkeypatch):
 def test_template_strings_are_quoted_without_an_encoder(monkeypatch):
     monkeypatch.setattr(texts.json, "dumps", None)
     assert texts.template_strings('{"s":`a\\`"b`}').text == '{"s":"a`\\"b"}'
+
+
+def test_strings_are_expanded_only_where_a_container_may_be(monkeypatch):
+    asked = []
+    monkeypatch.setattr(nodes, "parse", lambda text: (asked.append(text), parse(text))[1])
+    flat, nested = ({"type": "object", "properties": {"p": {"type": kind, "items": {"type": "string"}}}} for kind in ("string", "array"))
+    walked, rewrite = [], nodes._rewrite
+    monkeypatch.setattr(nodes, "_rewrite", lambda value, *more: (walked.append(value), rewrite(value, *more))[1])
+    assert nodes.expand_json_strings({"p": '["x"]'}, Schema(flat)) is nodes.NOTHING and not asked and not walked
+    assert nodes.expand_json_strings({"p": '["x"]'}, Schema(nested)).value == {"p": ["x"]}
+    assert nodes.expand_json_strings('{"p":"x"}', Schema(flat)).value == {"p": "x"}
