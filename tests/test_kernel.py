@@ -534,3 +534,10 @@ def test_strings_are_expanded_only_where_a_container_may_be(monkeypatch):
     assert nodes.expand_json_strings({"p": '["x"]'}, Schema(flat)) is nodes.NOTHING and not asked and not walked
     assert nodes.expand_json_strings({"p": '["x"]'}, Schema(nested)).value == {"p": ["x"]}
     assert nodes.expand_json_strings('{"p":"x"}', Schema(flat)).value == {"p": "x"}
+
+
+def test_nulls_are_looked_for_before_the_walk(monkeypatch):
+    schema = Schema({"type": "object", "properties": {"p": {"type": "string"}, "o": {"type": "object", "properties": {"q": {"type": "string"}}}}})
+    assert nodes.remove_optional_nulls({"p": "x", "o": {"q": None}}, schema).value == {"p": "x", "o": {}}
+    monkeypatch.setattr(nodes, "_rewrite", None)
+    assert nodes.remove_optional_nulls({"p": 42, "o": {"q": [1]}}, schema) is nodes.NOTHING
