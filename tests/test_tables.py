@@ -339,3 +339,10 @@ def test_the_gate_parses_no_foreign_literals(spark, text):
     from jsonmend.functions.repair import in_sequence
 
     assert not spark.createDataFrame([(text,)], "t string").select(in_sequence(F.col("t"))).first()[0]
+
+
+def test_the_gate_parses_no_concatenation(spark):
+    from jsonmend.functions.repair import in_sequence
+
+    df = spark.createDataFrame([('{"k":1}{"z":1}',), ('{"k":1} x',), ('{"k":1}"z"',)], "t string")
+    assert not any(r[0] for r in df.select(in_sequence(F.col("t"))).collect())
