@@ -541,3 +541,12 @@ def test_nulls_are_looked_for_before_the_walk(monkeypatch):
     assert nodes.remove_optional_nulls({"p": "x", "o": {"q": None}}, schema).value == {"p": "x", "o": {}}
     monkeypatch.setattr(nodes, "_rewrite", None)
     assert nodes.remove_optional_nulls({"p": 42, "o": {"q": [1]}}, schema) is nodes.NOTHING
+
+
+def test_strings_are_sought_in_an_enum_without_a_comparison_each(monkeypatch):
+    from jsonmend.kernel import schema as kernel_schema
+
+    judge = Schema({"type": "object", "properties": {"e": {"enum": ["1", 2, None, True]}, "f": {"type": ["integer", "boolean"], "enum": [1]}}})
+    assert judge.errors({"f": True}) and not judge.errors({"f": 1})
+    monkeypatch.setattr(kernel_schema, "equal", None)
+    assert not judge.errors({"e": "1"}) and judge.errors({"e": "2"}) == ["$.e did not match an allowed enum value."]
