@@ -42,10 +42,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _with_json(orders: DataFrame, *more: Column) -> DataFrame:
+    j = F.to_json(F.struct(F.col("o_orderkey").cast("long").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p")))
+    return orders.select("o_orderkey", "o_custkey", j.alias("j"), *more)
+
+
 def _orders(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """Orders with their JSON in ``j``."""
-    j = F.to_json(F.struct(F.col("o_orderkey").cast("long").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p")))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", j.alias("j"), *more)
+    return _with_json(_table(spark, sf_dir, "orders"), *more)
+
+
+def _dealt(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """The same, dealt out as they are stored: the one task that reads a row group does not make JSON and damage for all of its rows."""
+    stored = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return _with_json(spread(stored), *more)
 
 
 def _fields(text: Column) -> list[Column]:
@@ -59,7 +69,7 @@ def _repaired(df: DataFrame, text: Column, schema: str | None = None, options: O
 
 def _damaged(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = _repaired(_orders(spark, sf_dir), DAMAGE[name](F.col("j")))
+        out = _repaired(_dealt(spark, sf_dir), DAMAGE[name](F.col("j")))
         return out.select(*_fields(F.col("repair.repaired_text")))
 
     return query
@@ -80,7 +90,7 @@ def valid_passthrough(spark, sf_dir):
 @_register("gate_agrees", "SELECT count(*)::BIGINT AS rows, 0::BIGINT AS wrongly_passed FROM orders")
 def gate_agrees(spark, sf_dir):
     """The native gate passes nothing that the kernel would change."""
-    df = spread(_orders(spark, sf_dir))
+    df = _dealt(spark, sf_dir)
     damaged = F.when(F.col("o_orderkey") % 2 == 0, F.col("j")).otherwise(F.concat("j", F.lit(",")))
     out = df.select(passes_gate(damaged).alias("gate"), json_repair(damaged).alias("r"))
     return out.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("gate") & F.col("r.was_repaired")).cast("long")).alias("wrongly_passed"))
@@ -99,7 +109,7 @@ def native_delimiters(spark, sf_dir):
 @_register("concat_refused", "SELECT o_orderkey::BIGINT AS k, 'Failed' AS status, '{\"z\":1}' AS text, 0.665::DOUBLE AS confidence FROM orders")
 def concat_refused(spark, sf_dir):
     """Two values are refused as a concatenation; the extraction from prose then takes the last."""
-    out = _repaired(_orders(spark, sf_dir), F.concat("j", F.lit('{"z":1}')))
+    out = _repaired(_dealt(spark, sf_dir), F.concat("j", F.lit('{"z":1}')))
     status = F.filter("repair.text_repairs", lambda r: r["name"] == "concatenated-json")[0]["status"]
     return out.select(F.col("o_orderkey").cast("long").alias("k"), status.alias("status"), F.col("repair.repaired_text").alias("text"), F.round("repair.confidence", 6).alias("confidence"))
 
@@ -107,7 +117,7 @@ def concat_refused(spark, sf_dir):
 @_register("python_literals", "SELECT o_orderkey::BIGINT AS k, 'true' AS ok, true AS x_is_null, round(0.57, 4)::DOUBLE AS confidence FROM orders")
 def python_literals(spark, sf_dir):
     text = F.concat(F.lit("{'k': "), F.col("o_orderkey").cast("string"), F.lit(", ok: True, x: None}"))
-    out = _repaired(_orders(spark, sf_dir), text)
+    out = _repaired(_dealt(spark, sf_dir), text)
     t = F.col("repair.repaired_text")
     return out.select(F.get_json_object(t, "$.k").cast("long").alias("k"), F.get_json_object(t, "$.ok").alias("ok"), t.contains('"x":null').alias("x_is_null"), F.round("repair.confidence", 4).alias("confidence"))
 
@@ -115,7 +125,7 @@ def python_literals(spark, sf_dir):
 @_register("truncated_tail", "SELECT o_orderkey::BIGINT AS k, o_orderstatus AS s, NULL::VARCHAR AS p, 1::INTEGER AS corrections FROM orders")
 def truncated_tail(spark, sf_dir):
     cut = F.substring_index("j", ":", 3)
-    out = _repaired(_orders(spark, sf_dir), F.concat(cut, F.lit(":")))
+    out = _repaired(_dealt(spark, sf_dir), F.concat(cut, F.lit(":")))
     return out.select(*_fields(F.col("repair.repaired_text")), F.col("repair.tolerant.correction_count").alias("corrections"))
 
 
@@ -123,7 +133,7 @@ def truncated_tail(spark, sf_dir):
 def embedded_quotes(spark, sf_dir):
     text = F.concat(F.lit('{"k":'), F.col("o_orderkey").cast("string"), F.lit(',"s":"say "'), F.get_json_object("j", "$.s"), F.lit('" now"}'))
     t = F.col("repair.repaired_text")
-    return _repaired(_orders(spark, sf_dir), text).select(F.get_json_object(t, "$.k").cast("long").alias("k"), F.get_json_object(t, "$.s").alias("s"))
+    return _repaired(_dealt(spark, sf_dir), text).select(F.get_json_object(t, "$.k").cast("long").alias("k"), F.get_json_object(t, "$.s").alias("s"))
 
 
 #: Damage of each class in the mixed queries, with its corrections and confidence.
@@ -136,7 +146,7 @@ def _mixed(spark, sf_dir) -> DataFrame:
     for n, (name, _, _) in enumerate(_CLASSES):
         text = F.when(which == n, DAMAGE[name](F.col("j"))).otherwise(text)
         label = F.when(which == n, name).otherwise(label)
-    return _repaired(_orders(spark, sf_dir, label.alias("damage")), text)
+    return _repaired(_dealt(spark, sf_dir, label.alias("damage")), text)
 
 
 def _cases(values: list) -> str:
@@ -185,7 +195,7 @@ def _schema(k: str = '{"type":"integer"}', s: str = _S, p: str = _S, more: str =
 def _shaped(name: str, text: Callable[[Column], Column], schema: str, options: Options | None = None, oracle: str = _PLAIN) -> None:
     @_register(name, oracle)
     def query(spark, sf_dir):
-        out = _repaired(_orders(spark, sf_dir), text(F.col("j")), schema, options)
+        out = _repaired(_dealt(spark, sf_dir), text(F.col("j")), schema, options)
         return out.filter("repair.is_repair_accepted").select(*_fields(F.col("repair.repaired_text")))
 
 
@@ -211,7 +221,7 @@ def _long_keys(j: Column, key: str, status: str) -> Column:
 @_register("rename_required", "SELECT o_orderkey::BIGINT AS k, o_orderstatus AS s FROM orders")
 def rename_required(spark, sf_dir):
     """A transposed and a differently cased required key."""
-    out = _repaired(_orders(spark, sf_dir), _long_keys(F.col("j"), "Order_Key", "sttaus"), _LONG, _RENAME)
+    out = _repaired(_dealt(spark, sf_dir), _long_keys(F.col("j"), "Order_Key", "sttaus"), _LONG, _RENAME)
     t = F.col("repair.repaired_text")
     return out.filter("repair.is_repair_accepted").select(F.get_json_object(t, "$.orderkey").cast("long").alias("k"), F.get_json_object(t, "$.status").alias("s"))
 
@@ -222,13 +232,13 @@ def structural_map(spark, sf_dir):
     schema = f'{{"type":"object","properties":{{"k":{{"type":"integer"}},"priority":{_PRIORITIES}}},"required":["k","priority"]}}'
     text = F.concat(F.lit('{"k":'), F.get_json_object("j", "$.k"), F.lit(',"zz":"'), F.get_json_object("j", "$.p"), F.lit('"}'))
     t = F.col("repair.repaired_text")
-    out = _repaired(_orders(spark, sf_dir), text, schema, _SHAPES)
+    out = _repaired(_dealt(spark, sf_dir), text, schema, _SHAPES)
     return out.filter("repair.is_repair_accepted").select(F.get_json_object(t, "$.k").cast("long").alias("k"), F.get_json_object(t, "$.priority").alias("p"))
 
 
 @_register("shape_errors", "SELECT o_orderkey::BIGINT AS k, CASE o_orderkey % 3 WHEN 0 THEN '$.s is required.' WHEN 1 THEN '$.k expected integer but found string.' ELSE '' END AS errors FROM orders")
 def shape_errors(spark, sf_dir):
-    df = _orders(spark, sf_dir)
+    df = _dealt(spark, sf_dir)
     text = F.when(F.col("o_orderkey") % 3 == 0, _sub(F.col("j"), '"s":', '"t":')).when(F.col("o_orderkey") % 3 == 1, _sub(F.col("j"), r'"k":(\d+)', '"k":"$1"')).otherwise(F.col("j"))
     return df.select(F.col("o_orderkey").cast("long").alias("k"), F.array_join(json_shape_errors(text, _schema()), "; ").alias("errors"))
 
@@ -237,7 +247,7 @@ def shape_errors(spark, sf_dir):
 def rollback_chain(spark, sf_dir):
     """A step that lowers no error is rolled back: the text stays as it was."""
     schema = '{"type":"array","items":{"type":"object","required":["a","b"],"properties":{"a":{"type":"string"},"b":{"type":"string"}}}}'
-    out = _repaired(_orders(spark, sf_dir), F.lit('"[1, 2]"'), schema)
+    out = _repaired(_dealt(spark, sf_dir), F.lit('"[1, 2]"'), schema)
     return out.groupBy(F.col("repair.repaired_text").alias("text"), F.col("repair.shape_status").alias("shape_status")).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -257,7 +267,7 @@ def _case_query(name: str, table: list, options: Options | None = None) -> None:
             here = F.col("o_orderkey") % len(table) == n
             text = F.when(here, F.replace(F.lit(damaged), F.lit("<K>"), F.col("o_orderkey").cast("string"))).otherwise(text)
             schema = F.when(here, F.lit(wanted)).otherwise(schema)
-        rows = spread(_orders(spark, sf_dir)).withColumns({"payload": text, "wanted": schema})
+        rows = _dealt(spark, sf_dir).withColumns({"payload": text, "wanted": schema})
         out = repair_df(rows, "payload", F.col("wanted"), options)
         corrections = F.coalesce("repair.tolerant.correction_count", F.lit(0))
         return out.select(F.col("o_orderkey").cast("long").alias("k"), F.col("repair.repaired_text").alias("text"), corrections.alias("corrections"), F.round("repair.confidence", 6).alias("confidence"))
@@ -308,7 +318,7 @@ def custom_steps(spark, sf_dir):
     """A step of one's own, one that raises and fails alone, and fewer built-in ones."""
     options = Options().clear("text").without_salvage().add("text", "faulty", _faulty).add("text", "drop-marks", _without_marks)
     options = options.insert_after("text", "faulty", "idle", lambda text: ("NotApplicable", None)).add("salvage", "last", _without_marks).remove("node", options.node_steps[0][0])
-    out = _repaired(_orders(spark, sf_dir), F.concat(F.lit("@@"), "j"), None, options)
+    out = _repaired(_dealt(spark, sf_dir), F.concat(F.lit("@@"), "j"), None, options)
     r = F.col("repair")
     return out.select(*_fields(r["repaired_text"]), r["succeeded_by"].alias("winner"), r["text_repairs"][0]["note"].alias("note"), F.size(r["text_repairs"]).alias("steps"))
 
@@ -323,7 +333,7 @@ def bounded_notes(spark, sf_dir):
     names = [f"field_{n:02}" for n in range(12)]
     schema = '{"type":"object","properties":{' + ",".join(f'"{n}":{{"type":"integer"}}' for n in names) + '},"required":[' + ",".join(f'"{n}"' for n in names) + "]}"
     given = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n.title()}":'), F.col("o_orderkey").cast("string")) for n in names]), F.lit("}"))
-    out = _repaired(_orders(spark, sf_dir), given, schema, _RENAME)
+    out = _repaired(_dealt(spark, sf_dir), given, schema, _RENAME)
     note = F.split(F.filter("repair.node_repairs", lambda r: r["status"] == "Succeeded")[0]["note"], "; ")
     return out.select(F.col("o_orderkey").cast("long").alias("k"), (F.size(note) - 1).alias("listed"), F.element_at(note, -1).alias("tail"))
 
@@ -332,7 +342,7 @@ def bounded_notes(spark, sf_dir):
 def sql_functions(spark, sf_dir):
     """The SQL function and the table function."""
     register(spark)
-    _orders(spark, sf_dir).select("o_orderkey", DAMAGE["fenced"](F.col("j")).alias("payload")).createOrReplaceTempView("jsonmend_payloads")
+    _dealt(spark, sf_dir).select("o_orderkey", DAMAGE["fenced"](F.col("j")).alias("payload")).createOrReplaceTempView("jsonmend_payloads")
     rows = spark.sql("SELECT json_repair(p.payload, NULL) AS r, f.status AS fence FROM jsonmend_payloads p, LATERAL repair_reports(p.payload, CAST(NULL AS STRING)) f WHERE f.name = 'markdown-json-fence'")
     return rows.select(*_fields(F.col("r.repaired_text")), "fence")
 
@@ -351,7 +361,7 @@ def struct_schema(spark, sf_dir):
 
     kind = T.StructType([T.StructField("k", T.LongType(), False), T.StructField("s", T.StringType()), T.StructField("more", T.MapType(T.StringType(), T.DoubleType()))])
     text = F.when(F.col("o_orderkey") % 2 == 0, _sub(F.col("j"), '"k":', '"z":')).otherwise(F.col("j"))
-    return _orders(spark, sf_dir).select(F.col("o_orderkey").cast("long").alias("k"), F.array_join(json_shape_errors(text, schema_text(kind)), "; ").alias("errors"))
+    return _dealt(spark, sf_dir).select(F.col("o_orderkey").cast("long").alias("k"), F.array_join(json_shape_errors(text, schema_text(kind)), "; ").alias("errors"))
 
 
 @_register("one_shot", _PLAIN)
@@ -362,14 +372,14 @@ def one_shot(spark, sf_dir):
     def helper(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: repair_text(t, None, Options.without_salvage).check().text_or_raise())
 
-    return spread(_orders(spark, sf_dir)).select(*_fields(helper(DAMAGE["trailing_comma"](F.col("j")))))
+    return _dealt(spark, sf_dir).select(*_fields(helper(DAMAGE["trailing_comma"](F.col("j")))))
 
 
 # ---- chat
 
 
 def _calls(spark, sf_dir, name: Column) -> DataFrame:
-    return spread(_orders(spark, sf_dir)).select(F.col("o_orderkey").cast("long").alias("id"), name.alias("name"), DAMAGE["missing_closer"](F.col("j")).alias("arguments"))
+    return _dealt(spark, sf_dir).select(F.col("o_orderkey").cast("long").alias("id"), name.alias("name"), DAMAGE["missing_closer"](F.col("j")).alias("arguments"))
 
 
 def _tools(spark) -> DataFrame:
@@ -420,7 +430,7 @@ def response_texts(spark, sf_dir):
     """Texts with a response schema, texts that look like JSON, and prose that stays."""
     which = F.col("o_orderkey") % 3
     text = F.when(which == 0, F.concat("j", F.lit(","))).when(which == 1, DAMAGE["fenced"](F.col("j"))).otherwise(F.lit("No JSON here."))
-    messages = spread(_orders(spark, sf_dir)).select("o_orderkey", text.alias("text"), F.col("j"), F.when(which == 0, _schema()).alias("wanted"))
+    messages = _dealt(spark, sf_dir).select("o_orderkey", text.alias("text"), F.col("j"), F.when(which == 0, _schema()).alias("wanted"))
     out = messages.transform(chat.with_repaired_texts(chat=chat.ChatOptions(texts_without_schema=True), schema=F.col("wanted")))
     return out.select(F.col("o_orderkey").cast("long").alias("k"), (F.col("text") == F.col("j")).alias("replaced"), F.col("repair_target").alias("target"))
 
@@ -434,7 +444,7 @@ def notifications(spark, sf_dir):
 @_register("plausibility_guard", "SELECT count(*)::BIGINT AS rows, count(*)::BIGINT AS unchanged FROM orders")
 def plausibility_guard(spark, sf_dir):
     """Prose is not replaced by the string that salvage makes of it."""
-    messages = spread(_orders(spark, sf_dir)).select(F.lit("None of this is JSON.").alias("text"))
+    messages = _dealt(spark, sf_dir).select(F.lit("None of this is JSON.").alias("text"))
     out = chat.repair_response_texts(messages, json_format=F.lit(True))
     return out.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("text") == "None of this is JSON.").cast("long")).alias("unchanged"))
 
@@ -455,7 +465,7 @@ def stream_completed(spark, sf_dir):
             out.append(state.text if done else None)
         return pd.Series(out)
 
-    return _table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("event_id"), replay("props", third).alias("text"))
+    return spread(_table(spark, sf_dir, "events").select("event_id", "props")).select(F.col("event_id").cast("long").alias("event_id"), replay("props", third).alias("text"))
 
 
 def _shared(spark) -> str:
@@ -480,7 +490,7 @@ def stream_deltas(spark, sf_dir):
     text = DAMAGE["missing_closer"](F.col("j"))
     third = F.ceil(F.length(text) / 3).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda n: F.struct(n.cast("long").alias("seq"), F.substring(text, n * third + 1, third).alias("chunk"), (n == 2).alias("is_last")))
-    chunks = spread(_orders(spark, sf_dir)).select(F.col("o_orderkey").cast("string").alias("stream_id"), F.explode(parts).alias("c")).select("stream_id", "c.*")
+    chunks = _dealt(spark, sf_dir).select(F.col("o_orderkey").cast("string").alias("stream_id"), F.explode(parts).alias("c")).select("stream_id", "c.*")
     for late in (False, True):  # two runs of the stream, the second with the missing chunk
         chunks.filter((F.col("seq") == 1) == late).write.mode("append").parquet(f"{folder}/chunks")
         source = spark.readStream.schema("stream_id string, seq long, chunk string, is_last boolean").parquet(f"{folder}/chunks")

@@ -1,6 +1,7 @@
 """Column functions, table operators, SQL surface and streaming."""
 
 import json
+import re
 import time
 
 import pytest
@@ -14,6 +15,7 @@ from jsonmend.kernel.engine import Limits, Options, Result, repair_text
 from jsonmend.kernel.values import is_document
 from jsonmend.operators import audit, chat
 from jsonmend.operators.frame import repair_df, spread
+from jsonmend.plans.queries import QUERIES
 from jsonmend.sources.damage import DAMAGE, read_payloads
 from jsonmend.streaming.deltas import complete, feed, repair_stream
 
@@ -276,6 +278,19 @@ def test_one_row_group_is_dealt_over_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["python_literals", "verbatim_orders", "structural_map", "truncated_tail", "correction_counts", "template_orders", "double_encoded", "scalar_to_string", "concat_refused", "schema_cases",
+     "raw_arguments", "one_shot", "shape_errors", "struct_schema", "sql_functions", "stream_completed"],
+)
+def test_rows_are_dealt_as_stored(spark, name):
+    """Damage is made in the tasks that repair it, not in the one that reads a row group."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Repartition", 1)
+    assert re.search("json_repair|run|helper|replay", above) and "Relation" in below
+    assert not re.search("concat|replace|substring|to_json|invoke|CASE", below)
+
+
 def test_streams_share_groups_but_not_states(spark, tmp_path):
     """Hundreds of streams in three state rows, null and completed ones included; the second run brings the missing chunks."""
     source = tmp_path / "in"
