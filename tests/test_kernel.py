@@ -550,3 +550,14 @@ def test_strings_are_sought_in_an_enum_without_a_comparison_each(monkeypatch):
     assert judge.errors({"f": True}) and not judge.errors({"f": 1})
     monkeypatch.setattr(kernel_schema, "equal", None)
     assert not judge.errors({"e": "1"}) and judge.errors({"e": "2"}) == ["$.e did not match an allowed enum value."]
+
+
+@pytest.mark.parametrize("text", ['{"k":1,"s":`O`}', '```json\n{"k":1}\n```', "<a>\n[1]\n</a>", '{"k":1}{"z":1}'])
+def test_a_text_that_a_step_makes_valid_is_parsed_once(monkeypatch, text):
+    from jsonmend.kernel import values
+
+    read = []
+    monkeypatch.setattr(values, "parse", lambda t: (read.append(t), parse(t))[1])
+    found = RepairEngine().repair(text)
+    assert found.succeeded and found.tolerant is None and found.value == parse(found.repaired_text)
+    assert read == [text, found.repaired_text]
