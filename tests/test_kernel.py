@@ -561,3 +561,19 @@ def test_a_text_that_a_step_makes_valid_is_parsed_once(monkeypatch, text):
     found = RepairEngine().repair(text)
     assert found.succeeded and found.tolerant is None and found.value == parse(found.repaired_text)
     assert read == [text, found.repaired_text]
+
+
+def test_members_that_a_step_keeps_are_not_compared(monkeypatch):
+    from jsonmend.kernel import engine
+
+    kept, lists = {"deep": [1, {"x": None}]}, [{"x": 1}]
+    for before, after, wanted in (
+        ({"k": 1, "o": kept, "p": 42}, {"k": 1, "o": kept, "p": "42"}, 1),
+        ({"k": 1, "gone": 2, "l": lists}, {"k": True, "new": None, "more": 1, "l": lists}, 4),
+        ({"l": [lists[0], 1, 2]}, {"l": [{"x": "1"}]}, 3),
+        (kept, {"deep": [1, {"x": None}]}, 0),
+    ):
+        assert engine.changes(before, after, 10) == wanted
+    compared, equal = [], engine.equal
+    monkeypatch.setattr(engine, "equal", lambda a, b: (compared.append((a, b)), equal(a, b))[1])
+    assert engine.changes({"k": 1, "o": kept, "p": 42}, {"k": 1, "o": kept, "p": "42"}, 10) == 1 and compared == [(42, "42")]
