@@ -43,7 +43,7 @@ def untouched(text: Column, options: Options) -> Column:
 TASKS = 16
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt out evenly, row by row, once.
 
     The kernel is bound by rows, not by bytes: Spark packs small files into one
@@ -52,6 +52,11 @@ def spread(df: DataFrame) -> DataFrame:
     partition, and for more ``TASKS`` times as many as there are partitions
     or cores: their number grows with the input, and no file layout, however
     few its row groups, gives one task many of its rows.
+
+    Spark sorts what it deals round by round, so that a task that runs again
+    deals alike; in the one task that reads a row group, the sort spills.
+    Where ``keys`` differ from row to row, their hash deals as evenly and
+    needs no sort.
     """
     if df.isStreaming:
         return df
@@ -62,7 +67,7 @@ def spread(df: DataFrame) -> DataFrame:
         have = df.rdd.getNumPartitions()
     except PySparkException:  # a session without partitions to look at
         return df
-    return df.repartition(cores if have < 2 else TASKS * max(cores, have))
+    return df.repartition(cores if have < 2 else TASKS * max(cores, have), *keys)
 
 
 def repair_df(df: DataFrame, column: str, schema: str | Column | None = None, options: Options | None = None, out: str = "repair", native_gate: bool = True) -> DataFrame:

@@ -55,7 +55,7 @@ def _orders(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
 def _dealt(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """The same, dealt out as they are stored: the one task that reads a row group does not make JSON and damage for all of its rows."""
     stored = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return _with_json(spread(stored), *more)
+    return _with_json(spread(stored, "o_orderkey"), *more)
 
 
 def _fields(text: Column) -> list[Column]:

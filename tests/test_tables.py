@@ -291,6 +291,27 @@ def test_rows_are_dealt_as_stored(spark, name):
     assert not re.search("concat|replace|substring|to_json|invoke|CASE", below)
 
 
+@pytest.mark.parametrize("name", ["correction_counts", "template_orders", "double_encoded", "scalar_to_string", "concat_refused"])
+def test_orders_are_dealt_by_key_without_a_sort(spark, name):
+    """Spark sorts what it deals round by round, which spills in the task that reads a large row group."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and re.search(r"hashpartitioning\(o_orderkey#\d+L, \d+\), REPARTITION_BY_NUM", plan)
+
+
+def test_keys_are_dealt_evenly_and_once(spark, tmp_path):
+    path = str(tmp_path / "keys")
+    spark.range(0, 40_000, 1, 4).selectExpr("id", "concat('{k:', id, '}') AS payload").write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        once = spread(spark.read.parquet(path), "id")
+        dealt = repair_df(once, "payload").select("id", F.spark_partition_id().alias("part"))
+        counts = [r["count"] for r in dealt.groupBy("part").count().collect()]
+        assert sum(counts) == 40_000 and len(counts) == once.rdd.getNumPartitions() >= 4 * 16 and max(counts) <= 2 * 40_000 / len(counts)
+        assert spread(once, "id") is once and dealt.select("id").distinct().count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_streams_share_groups_but_not_states(spark, tmp_path):
     """Hundreds of streams in three state rows, null and completed ones included; the second run brings the missing chunks."""
     source = tmp_path / "in"
